@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .asof import covering
 from .chunks import CHUNK, islands, neighbour, running, spread
-from .quantiles import Stat, exact_quantiles, robust_threshold
+from .quantiles import Stat, column_quantiles, robust_thresholds
 from .tracks import METRIC_CLASS, TRACK
 
 POSITION_FLOOR_M = 0.5
@@ -18,9 +18,14 @@ WINDOW_CONTEXT_S = 0.5
 
 def thresholds(steps: DataFrame, position_floor=POSITION_FLOOR_M, yaw_floor=YAW_FLOOR_DEG) -> DataFrame:
     """One row per track with both jump thresholds."""
-    pos = robust_threshold(steps, TRACK, "position_step_m", position_floor, "position_threshold_m")
-    yaw = robust_threshold(steps, TRACK, "yaw_step_deg", yaw_floor, "yaw_threshold_deg")
-    return pos.join(yaw, TRACK)
+    return robust_thresholds(
+        steps,
+        TRACK,
+        {
+            "position_step_m": ("position_threshold_m", position_floor),
+            "yaw_step_deg": ("yaw_threshold_deg", yaw_floor),
+        },
+    )
 
 
 def flagged_steps(steps: DataFrame, limits: DataFrame) -> DataFrame:
@@ -75,13 +80,12 @@ def jump_summary(flagged: DataFrame) -> DataFrame:
         F.expr("max(position_step_m) as max_position_step_m"),
         F.expr("max(yaw_step_deg) as max_yaw_step_deg"),
     )
-    pos = exact_quantiles(flagged, TRACK, "position_step_m", [Stat("p99_position_step_m", 0.99)])
-    yaw = exact_quantiles(flagged, TRACK, "yaw_step_deg", [Stat("p99_yaw_step_deg", 0.99)])
-    return (
-        base.join(pos.drop("n"), TRACK, "left")
-        .join(yaw.drop("n"), TRACK, "left")
-        .withColumn("metric_class", F.lit(METRIC_CLASS))
+    high = column_quantiles(
+        flagged,
+        TRACK,
+        {c: [Stat(f"p99_{c}", 0.99)] for c in ("position_step_m", "yaw_step_deg")},
     )
+    return base.join(high, TRACK, "left").withColumn("metric_class", F.lit(METRIC_CLASS))
 
 
 def top_events(events: DataFrame, n: int = 30) -> DataFrame:

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import description, severity, strip
 from .tracks import TRACK
 
-LINE = F.col("text")
 
 
 def findings(lines: DataFrame) -> DataFrame:
     """Lines that match a rule; the whole line is searched."""
     return (
-        lines.withColumn("severity", severity(LINE))
+        lines.withColumn("severity", severity(F.col("text")))
         .where("severity is not null")
-        .withColumn("description", description(LINE))
-        .withColumn("text", F.substring(strip(LINE), 1, 500))
+        .withColumn("description", description(F.col("text")))
+        .withColumn("text", F.substring(strip(F.col("text")), 1, 500))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, voxel
 from ..functions.pose import QUAT, IDENTITY, RigidTransform, rotate, rotation_rows
-from .quantiles import Stat, exact_quantiles
+from .quantiles import Stat, column_quantiles, exact_quantiles
 from .resample import pose_at
 from .tracks import TRACK
 
@@ -118,10 +118,12 @@ def map_extents(cloud: DataFrame, keys: list[str] = TRACK) -> DataFrame:
         F.expr("count(*) as map_points"),
         *(F.expr(f"cast(max({a}) as double) - cast(min({a}) as double) as extent_{a}_m") for a in "xyz"),
     )
-    for a in "xyz":
-        q = exact_quantiles(rows, keys, a, [Stat("lo", LOW_SHARE), Stat("hi", HIGH_SHARE)])
-        out = out.join(q.selectExpr(*keys, f"hi - lo as robust_{a}_m"), keys)
-    return out
+    q = column_quantiles(
+        rows, keys, {a: [Stat(f"lo_{a}", LOW_SHARE), Stat(f"hi_{a}", HIGH_SHARE)] for a in "xyz"}
+    )
+    return out.join(q, keys).selectExpr(
+        *out.columns, *(f"hi_{a} - lo_{a} as robust_{a}_m" for a in "xyz")
+    )
 
 
 def shared_limits(cloud: DataFrame) -> DataFrame:
@@ -180,11 +182,15 @@ def _levels(targets: DataFrame) -> list[float]:
     sizes, size, per_pass = [top], top, 6
     while len(sizes) < MAX_LEVELS:
         probe = [size / FAN ** (i + 1) for i in range(per_pass)]
+        finest = targets.groupBy("cloud", *(voxel(a, probe[-1]).alias(f"v{a}") for a in "xyz")).agg(
+            F.expr("count(*) as n")
+        )
+        # Coarser levels are rolled up from the finest counts.
         fullest = [
-            targets.groupBy("cloud", *(voxel(a, s).alias(f"v{a}") for a in "xyz"))
-            .agg(F.expr("count(*) as n"))
+            finest.groupBy("cloud", *(F.expr(f"floor(v{a} / {FAN ** (per_pass - 1 - i)})") for a in "xyz"))
+            .agg(F.expr("sum(n) as n"))
             .agg(F.lit(i).alias("i"), F.max("n").alias("n"))
-            for i, s in enumerate(probe)
+            for i in range(per_pass)
         ]
         rows = fullest[0]
         for f in fullest[1:]:
@@ -215,19 +221,23 @@ def nearest_distances(probes: DataFrame, targets: DataFrame) -> DataFrame:
     def cells(size: float) -> list:
         return [voxel(a, size).alias(f"v{a}") for a in "xyz"]
 
-    box = [F.expr(f"min({a}) as l{a}") for a in "xyz"] + [F.expr(f"max({a}) as h{a}") for a in "xyz"]
     near = " + ".join(f"pow(greatest(l{a} - {a}, {a} - h{a}, 0.0D), 2)" for a in "xyz")
     far = " + ".join(f"pow(greatest(abs({a} - l{a}), abs({a} - h{a})), 2)" for a in "xyz")
 
-    top = targets.groupBy("cloud", *cells(sizes[0])).agg(*box)
-    kept = probes.join(top, "cloud")
-    for upper, lower in zip(sizes, sizes[1:]):
-        kept = _closest(kept, near, far)
-        child = targets.groupBy("cloud", *cells(lower)).agg(*box)
-        ratio = int(round(upper / lower))
-        child = child.select(
-            "*", *(F.expr(f"cast(floor(v{a} / {ratio}) as bigint) as u{a}") for a in "xyz")
+    # Cell bounds from the leaves up; a parent's bounds come from its children.
+    box = [F.expr(f"min({a}) as l{a}") for a in "xyz"] + [F.expr(f"max({a}) as h{a}") for a in "xyz"]
+    level = targets.groupBy("cloud", *cells(sizes[-1])).agg(*box)
+    parents = [F.expr(f"cast(floor(v{a} / {FAN}) as bigint) as u{a}") for a in "xyz"]
+    merge = [F.expr(f"min(l{a}) as l{a}") for a in "xyz"] + [F.expr(f"max(h{a}) as h{a}") for a in "xyz"]
+    tree = []
+    for _ in sizes[1:]:
+        tree.append(level.select("*", *parents))
+        level = (
+            tree[-1].groupBy("cloud", *(F.col(f"u{a}").alias(f"v{a}") for a in "xyz")).agg(*merge)
         )
+    kept = probes.join(level, "cloud")
+    for child in reversed(tree):
+        kept = _closest(kept, near, far)
         kept = kept.selectExpr(
             "id", "cloud", "x", "y", "z", *(f"v{a} as u{a}" for a in "xyz")
         ).join(child, ["cloud", "ux", "uy", "uz"]).drop("ux", "uy", "uz")
@@ -285,8 +295,7 @@ def nn_metrics(distances: DataFrame) -> DataFrame:
         F.expr("sum(if(side = 1, copies, 0L)) as samples_reference"),
         F.expr("sum(if(side = 0, copies, 0L)) as samples_candidate"),
     )
-    every = distances.selectExpr("*", "explode(sequence(1L, copies)) as copy")
-    q = exact_quantiles(every, TRACK, "dist_m", [Stat("nn_p95_m", 0.95)]).drop("n")
+    q = exact_quantiles(distances, TRACK, "dist_m", [Stat("nn_p95_m", 0.95)], weight="copies").drop("n")
     return agg.join(q, TRACK)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .asof import covering
 from .chunks import CHUNK, islands, neighbour, running, spread
-from .quantiles import Stat, exact_quantiles
+from .quantiles import Stat, column_quantiles, exact_quantiles
 from .resample import emit_grid, pose_at
 from .tracks import RELATIVE_CLASS, TRACK
 
@@ -337,13 +337,18 @@ def phase_resource_metrics(assigned: DataFrame, phases: DataFrame, tracks: DataF
         F.expr("max(rss) as rss_peak_mib"),
         F.expr("cast(max(thr) as bigint) as threads_peak"),
     )
-    cpu = exact_quantiles(rows, key, "cpu", [Stat("cpu_median_percent"), Stat("cpu_p95_percent", 0.95)])
-    thr = exact_quantiles(rows, key, "thr", [Stat("threads_p95", 0.95)])
+    high = column_quantiles(
+        rows,
+        key,
+        {
+            "cpu": [Stat("cpu_median_percent"), Stat("cpu_p95_percent", 0.95)],
+            "thr": [Stat("threads_p95", 0.95)],
+        },
+    )
     cells = phases.select("run_id", "phase_id").join(tracks.select(*TRACK).distinct(), "run_id")
     return (
         cells.join(agg, key, "left")
-        .join(cpu.drop("n"), key, "left")
-        .join(thr.drop("n"), key, "left")
+        .join(high, key, "left")
         .withColumn("resource_samples", F.coalesce("resource_samples", F.lit(0).cast("bigint")))
     )
 

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from .asof import nearest
 from .chunks import neighbour, spread, with_seq_chunk
 from .points import SCAN, _scan_chunks
-from .quantiles import Stat, exact_quantiles
+from .quantiles import Stat, column_quantiles
 
 TOPIC = ["run_id", "topic"]
 
 
-def series_stats(rows: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
-    """Count, mean, median, population std, minimum and maximum of a column."""
-    agg = rows.groupBy(*keys).agg(
-        F.expr(f"count({value}) as {prefix}_count"),
-        F.expr(f"avg({value}) as {prefix}_mean"),
-        F.expr(f"stddev_pop({value}) as {prefix}_std"),
-        F.expr(f"min({value}) as {prefix}_min"),
-        F.expr(f"max({value}) as {prefix}_max"),
-    )
-    med = exact_quantiles(rows, keys, value, [Stat(f"{prefix}_median")]).drop("n")
-    return agg.join(med, keys, "left")
+def series_stats(rows: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """Count, mean, median, population std, minimum and maximum per column.
+
+    ``values`` maps a column to the prefix of its result names.
+    """
+    aggs = [
+        F.expr(f"{f}({c}) as {p}_{n}")
+        for c, p in values.items()
+        for n, f in (("count", "count"), ("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))
+    ]
+    med = column_quantiles(rows, keys, {c: [Stat(f"{p}_median")] for c, p in values.items()})
+    return rows.groupBy(*keys).agg(*aggs).join(med, keys, "left")
 
 
 def with_previous(messages: DataFrame) -> DataFrame:
@@ -51,10 +52,10 @@ def topic_profile(messages: DataFrame) -> DataFrame:
         F.expr("count_if(recorded_dt_s <= 0) as recorded_time_reversals"),
         F.expr("count_if(header_dt_s <= 0) as header_time_reversals"),
     )
-    out = base
-    for value, prefix in (("recorded_dt_s", "recorded_dt"), ("header_dt_s", "header_dt"), ("rmh_s", "rmh")):
-        out = out.join(series_stats(rows, TOPIC, value, prefix), TOPIC, "left")
-    return out
+    stats = series_stats(
+        rows, TOPIC, {"recorded_dt_s": "recorded_dt", "header_dt_s": "header_dt", "rmh_s": "rmh"}
+    )
+    return base.join(stats, TOPIC, "left")
 
 
 def unavailable_topics(messages: DataFrame, known_types: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def point_time_profile(points: DataFrame) -> DataFrame:
         )
     )
     back = scans.groupBy("run_id").agg(F.expr("sum(backtracks) as input_order_time_backtracks"))
-    return series_stats(scans, ["run_id"], "range_s", "frame_range").join(back, "run_id").join(lines, "run_id")
+    return series_stats(scans, ["run_id"], {"range_s": "frame_range"}).join(back, "run_id").join(lines, "run_id")
 
 
 def input_contract(totals: DataFrame, topics: DataFrame, declared: DataFrame) -> DataFrame:

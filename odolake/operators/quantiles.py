@@ -1,9 +1,9 @@
 """Exact order statistics per key by histogram narrowing.
 
 The built-in exact percentile keeps every distinct value of a group in one
-task. Here a group is first counted per magnitude class (map-side combined),
-then per linear slice of the one or two classes that hold the wanted ranks, and
-only the rows of those slices are ranked. Each pass is a narrow scan plus a
+task. Here a group is first counted per magnitude class (map-side combined).
+If a class that holds a wanted rank is still large it is counted again per
+linear slice, and only the rows of the hit cells are ranked. Each pass is a narrow scan plus a
 small shuffle; no pass sorts or gathers a whole group, and copies of one value
 collapse before they are shuffled.
 """
@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, magnitude_class
+from .chunks import CHUNK, spread
+from .keep import keep
 
 SLICES = 1024
+# A class of at most this many rows is ranked as it is.
+ROWS_RANKED_AT_ONCE = 500_000
 
 
 @dataclass(frozen=True)
@@ -48,45 +52,54 @@ def _narrow(hist: DataFrame, by: list[str], cell: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[Stat]
+    df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[Stat],
+    weight: str | None = None, *, ranked_at_once: int | None = None,
 ) -> DataFrame:
-    """One row per key with a column per ``Stat``, the count ``n`` included."""
+    """One row per key with a column per ``Stat``, the count ``n`` included.
+
+    ``weight`` counts a row that many times without expanding it.
+    """
     keys = list(keys)
-    rows = df.where(finite(value)).select(*keys, F.col(value).cast("double").alias("v"))
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = df.where(finite(value)).select(*keys, F.col(value).cast("double").alias("v"), w.alias("w"))
     rows = rows.withColumn("c", magnitude_class(F.col("v")))
 
     ranks = ", ".join(f"floor({s.position}), ceil({s.position})" for s in stats)
     classes = (
         rows.groupBy(*keys, "c")
-        .agg(F.expr("count(*) as n"), F.expr("min(v) as lo"), F.expr("max(v) as hi"))
+        .agg(F.expr("sum(w) as n"), F.expr("min(v) as lo"), F.expr("max(v) as hi"))
         .selectExpr("*", f"sum(n) over (partition by {', '.join(keys)}) as total")
         .selectExpr("*", "0L as base", f"array_distinct(array({ranks})) as want")
     )
-    hit = _narrow(classes, keys, "c").selectExpr(
-        *keys, "c", "total", "lo", "hi", "upto - n as base", "ranks as want"
-    )
-
-    inside = rows.join(hit, [*keys, "c"]).selectExpr(
-        *keys,
-        "c",
-        "v",
-        f"if(hi > lo, cast(floor((v - lo) / (hi - lo) * {SLICES}) as bigint), 0L) as s",
-        "total",
-        "base",
-        "want",
+    hit = keep(
+        _narrow(classes, keys, "c").selectExpr(
+            *keys, "c", "n", "total", "lo", "hi", "upto - n as base", "ranks as want"
+        )
     )
     same = [F.expr(f"first({c}) as {c}") for c in ("total", "base", "want")]
-    slices = inside.groupBy(*keys, "c", "s").agg(F.expr("count(*) as n"), *same)
-    hit = _narrow(slices, [*keys, "c"], "s").selectExpr(
-        *keys, "c", "s", "upto - n as base", "ranks as want"
-    )
-    values = (
-        inside.select(*keys, "c", "s", "total", "v")
-        .join(hit, [*keys, "c", "s"])
-        .groupBy(*keys, "c", "s", "v")
-        .agg(F.expr("count(*) as n"), *same)
-    )
-    found = _narrow(values, [*keys, "c", "s"], "v").selectExpr(
+    cell = [*keys, "c"]
+    inside = rows.join(hit.drop("n"), cell)
+    fullest = hit.agg(F.max("n")).first()[0] or 0
+    if fullest > (ROWS_RANKED_AT_ONCE if ranked_at_once is None else ranked_at_once):
+        inside = inside.selectExpr(
+            *cell,
+            "v",
+            "w",
+            f"if(hi > lo, cast(floor((v - lo) / (hi - lo) * {SLICES}) as bigint), 0L) as s",
+            "total",
+            "base",
+            "want",
+        )
+        slices = inside.groupBy(*cell, "s").agg(F.expr("sum(w) as n"), *same)
+        cell = [*cell, "s"]
+        hit = keep(
+            _narrow(slices, cell[:-1], "s").selectExpr(
+                *cell, "total", "upto - n as base", "ranks as want"
+            )
+        )
+        inside = inside.drop("total", "base", "want").join(hit, cell)
+    values = inside.groupBy(*cell, "v").agg(F.expr("sum(w) as n"), *same)
+    found = _narrow(values, cell, "v").selectExpr(
         *keys, "total", "v", "explode(ranks) as rank"
     )
     outs = []
@@ -97,40 +110,52 @@ def exact_quantiles(
     return found.groupBy(*keys).agg(F.expr("first(total) as n"), *outs)
 
 
-def robust_threshold(
+def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Columns as rows ``(keys, metric, value)``, so one pass serves them all."""
+    pairs = ", ".join(f"struct('{c}' as metric, cast({c} as double) as value)" for c in columns)
+    return df.selectExpr(*keys, f"inline(array({pairs}))")
+
+
+def column_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, Sequence[Stat]]
+) -> DataFrame:
+    """Quantiles of several columns in the same passes, one row per key."""
+    every = list({(s.share, s.upper): s for stats in wanted.values() for s in stats})
+    stats = [Stat(f"q{k}", share, upper) for k, (share, upper) in enumerate(every)]
+    rows = exact_quantiles(melt(df, keys, list(wanted)), [*keys, "metric"], "value", stats)
+    outs = []
+    for c, asked in wanted.items():
+        for s in asked:
+            q = stats[every.index((s.share, s.upper))].name
+            outs.append(F.expr(f"max(case when metric = '{c}' then {q} end) as {s.name}"))
+    return rows.groupBy(*keys).agg(*outs)
+
+
+def robust_thresholds(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
-    floor: float,
-    name: str,
+    floors: dict[str, tuple[str, float]],
     *,
     multiplier: float = 10.0,
     scale: float = 1.4826,
 ) -> DataFrame:
     """max(floor, median + 10 * 1.4826 * MAD) of the finite values per key.
 
-    Keys without a finite value keep the floor.
+    ``floors`` maps a column to (result name, floor); all columns share the
+    passes. Keys without a finite value keep the floor.
     """
     keys = list(keys)
-    med = exact_quantiles(df, keys, value, [Stat("med")]).select(*keys, "med")
-    if "chunk" in df.columns:
-        from .chunks import spread
-
-        base = spread(df.select(*keys, "chunk", value), med, keys, keys)
-    else:
-        base = df.select(*keys, value).join(med, keys)
-    dev = base.select(*keys, F.abs(F.col(value) - F.col("med")).alias("dev"))
-    mad = exact_quantiles(dev, keys, "dev", [Stat("mad")]).select(*keys, "mad")
-    found = med.join(mad, keys).select(
+    cols = list(floors)
+    med = keep(column_quantiles(df, keys, {c: [Stat(f"med_{c}")] for c in cols}))
+    base = spread(df.select(*keys, CHUNK, *cols), med, keys, keys)
+    dev = base.selectExpr(*keys, *(f"abs({c} - med_{c}) as {c}" for c in cols))
+    mad = column_quantiles(dev, keys, {c: [Stat(f"mad_{c}")] for c in cols})
+    found = med.join(mad, keys).selectExpr(
         *keys,
-        F.greatest(
-            F.lit(float(floor)),
-            F.col("med") + F.lit(multiplier) * F.lit(scale) * F.col("mad"),
-        ).alias(name),
-    )
-    return (
-        df.select(*keys)
-        .distinct()
-        .join(found, keys, "left")
-        .withColumn(name, F.coalesce(name, F.lit(float(floor))))
+        *(
+            f"greatest({float(low)!r}D, med_{c} + {multiplier!r}D * {scale!r}D * mad_{c}) as {name}"
+            for c, (name, low) in floors.items()
+        ),
     )
+    out = df.select(*keys).distinct().join(found, keys, "left")
+    return out.na.fill({name: float(low) for name, low in floors.values()})

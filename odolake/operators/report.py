@@ -131,7 +131,7 @@ def category_counts(classified: DataFrame) -> DataFrame:
 
 def run_state(runs: DataFrame) -> DataFrame:
     """failed / completed / running / completed_partial / initialized per run."""
-    terminal = "status in ('SUCCESS', 'GROUND_TRUTH_UNAVAILABLE')"
+    terminal = "status = 'SUCCESS'"
     return runs.groupBy("run_id").agg(
         F.expr(
             f"case when bool_or(has_result and not coalesce({terminal}, false)) then 'failed'"

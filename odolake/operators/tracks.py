@@ -291,7 +291,7 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
     rising = with_chunk(rising, TRACK, "timestamp_s", **({"rows": rows} if rows else {}))
     by = [*TRACK, CHUNK]
 
-    def borders(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def borders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf["timestamp_s"].sort_values().to_numpy()
         limit = t[0] + min_dt
         entry = [i for i in range(len(t)) if i == 0 or t[i - 1] < limit]
@@ -309,7 +309,7 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
             }
         )
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         last, chunks, starts = None, [], []
         for c, g in pdf.sort_values([CHUNK, "entry_s"]).groupby(CHUNK, sort=True):
             ok = g if last is None else g[g["entry_s"] - last >= min_dt]
@@ -319,7 +319,7 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
                 last = ok["exit_s"].iloc[0]
         return pd.DataFrame({"run_id": key[0], "algorithm": key[1], CHUNK: chunks, "start_s": starts})
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp_s")
         t, keep = pdf["timestamp_s"].to_numpy(), []
         after = _jumps(t, min_dt)

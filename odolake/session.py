@@ -42,17 +42,21 @@ def local_session(cores: int | str = 8, app: str = "odolake") -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints and stream output.
+    """This application's folder below the cluster's shared checkpoint folder.
 
     The setting is read from the session. Only where it is unset and the
     master is local does a fresh temporary folder stand in.
     """
+    app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return f"{configured.rstrip('/')}/odolake-{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="odolake-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="odolake-")
+    return _LOCAL_DIRS[app]
