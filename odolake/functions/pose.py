@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import clamp
@@ -31,7 +31,8 @@ def roll_pitch_yaw(q: list[Column]) -> tuple[Column, Column, Column]:
 
 
 def rotation_rows(q: list[Column]) -> list[list[Column]]:
-    x, y, z, w = normalized(q)
+    """Rotation matrix of a unit quaternion."""
+    x, y, z, w = q
     return [
         [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
         [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
@@ -69,21 +70,30 @@ class RigidTransform:
 IDENTITY = RigidTransform((1, 0, 0, 0, 1, 0, 0, 0, 1), (0, 0, 0))
 
 
-def lerp(a: Column, b: Column, f: Column) -> Column:
-    return a + f * (b - a)
-
-
-def slerp(q0: list[Column], q1: list[Column], f: Column) -> list[Column]:
-    """Shortest-arc interpolation; nearly parallel pairs fall back to a
-    normalized straight line."""
-    a, b = normalized(q0), normalized(q1)
-    raw = a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
-    sign = F.when(raw < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    b = [c * sign for c in b]
-    dot = clamp(F.abs(raw), -1.0, 1.0)
-    theta = F.acos(dot)
-    wa, wb = F.sin((1 - f) * theta) / F.sin(theta), F.sin(f * theta) / F.sin(theta)
-    straight = normalized([x + f * (y - x) for x, y in zip(a, b)])
-    return [
-        F.when(dot > 0.9995, s).otherwise(wa * x + wb * y) for s, x, y in zip(straight, a, b)
-    ]
+def slerp(df: DataFrame, q0: list[str], q1: list[str], f: str, out: list[str]) -> DataFrame:
+    """Shortest-arc interpolation of two quaternions given as expressions.
+
+    Nearly parallel pairs fall back to a normalized straight line. Every stage
+    is its own projection, so shared terms are computed once and the generated
+    code stays small.
+    """
+    k = range(4)
+    df = df.selectExpr("*", *(f"{q0[i]} as __a{i}" for i in k), *(f"{q1[i]} as __b{i}" for i in k))
+    norm = "sqrt(" + " + ".join("__{0}%d * __{0}%d" % (i, i) for i in k) + ")"
+    df = df.selectExpr("*", f"{norm.format('a')} as __na", f"{norm.format('b')} as __nb")
+    raw = " + ".join(f"__a{i} * __b{i}" for i in k)
+    df = df.selectExpr("*", f"({raw}) / (__na * __nb) as __raw")
+    df = df.selectExpr(
+        "*", "if(__raw < 0, -1.0D, 1.0D) as __sign", "least(1.0D, abs(__raw)) as __dot"
+    )
+    df = df.selectExpr("*", "acos(__dot) as __theta", "__dot > 0.9995D as __flat")
+    df = df.selectExpr(
+        "*",
+        f"if(__flat, 1.0D - {f}, sin((1.0D - {f}) * __theta) / sin(__theta)) / __na as __wa",
+        f"if(__flat, {f}, sin({f} * __theta) / sin(__theta)) * __sign / __nb as __wb",
+    )
+    df = df.selectExpr("*", *(f"__wa * __a{i} + __wb * __b{i} as __m{i}" for i in k))
+    df = df.selectExpr("*", f"if(__flat, {norm.format('m')}, 1.0D) as __nm")
+    df = df.selectExpr("*", *(f"__m{i} / __nm as {out[i]}" for i in k))
+    extra = [f"__{c}{i}" for c in "abm" for i in k]
+    return df.drop(*extra, *(f"__{c}" for c in ("na", "nb", "nm", "raw", "sign", "dot", "theta", "flat", "wa", "wb")))

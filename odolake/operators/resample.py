@@ -185,11 +185,12 @@ def pose_at(
     picks.append("case when valid then coalesce(s.p_yaw_u + f * (s.yaw_u - s.p_yaw_u), s.yaw_u) end as pyaw")
     out = out.selectExpr("*", *picks)
     if rotation:
-        a = [F.coalesce(F.col(f"s.p.{q}"), F.col(f"s.{q}")) for q in QUAT]
-        b = [F.col(f"s.{q}") for q in QUAT]
-        q = slerp(a, b, F.col("f"))
-        out = out.select(
-            "*", *(F.when(F.col("valid"), c).alias(f"p{n}") for c, n in zip(q, QUAT))
+        out = slerp(
+            out,
+            [f"if(valid, coalesce(s.p.{q}, s.{q}), null)" for q in QUAT],
+            [f"s.{q}" for q in QUAT],
+            "f",
+            [f"p{q}" for q in QUAT],
         )
     return out.drop("s", "f")
 

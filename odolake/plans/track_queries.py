@@ -324,13 +324,13 @@ add(
         resources.nearest(
             i.samples().where("seq % 2 = 0").selectExpr(*TRACK, "seq as query_seq", "wall_s / 86400.0D as day"),
             i.ship_samples().selectExpr(*TRACK, "seq", "(day - 10000.0D) / 100.0D as day", "cpu_percent"),
-            TRACK, t="day", sample_t="day", order=["seq"], payload=["seq", "cpu_percent"],
+            TRACK, t="day", sample_t="day", order=["seq"], payload=["seq"],
             tie="later", max_age=0.004,
         ),
-        *TRACK, "query_seq", "hit.seq as sample_seq", "hit.cpu_percent as cpu_percent", "age_s",
+        *TRACK, "query_seq", "hit.seq as sample_seq", "age_s",
     ),
     f"""SELECT run_id, algorithm, query_seq, CASE WHEN ok THEN c.seq END AS sample_seq,
-               CASE WHEN ok THEN c.cpu_percent + 0.0 END AS cpu_percent, {r('CASE WHEN ok THEN age END', 'age_s')}
+               {r('CASE WHEN ok THEN age END', 'age_s')}
         FROM (SELECT *, age <= 4e-3 + 1e-12 AS ok FROM (SELECT *, abs(c.day - q_day) AS age FROM
           (SELECT run_id, algorithm, query_seq, q_day,
              CASE WHEN a.t IS NULL THEN struct_pack(day := b.t, seq := b.s, cpu_percent := b.c)
@@ -427,9 +427,9 @@ add(
 )
 add(
     "latest_n",
-    lambda i: tidy(resources.latest_n(i.ship_samples(), 120, ["day", "seq"]), *TRACK, "seq", "cpu_percent", "back"),
+    lambda i: tidy(resources.latest_n(i.ship_samples(), 120, ["day", "seq", "cpu_percent"]), *TRACK, "seq", "cpu_percent", "back"),
     f"""SELECT run_id, algorithm, seq, {r('cpu_percent', 'cpu_percent')}, back FROM
-        (SELECT *, row_number() OVER (PARTITION BY run_id, algorithm ORDER BY day DESC, seq DESC) AS back FROM ship) WHERE back <= 120""",
+        (SELECT *, row_number() OVER (PARTITION BY run_id, algorithm ORDER BY day DESC, seq DESC, cpu_percent DESC) AS back FROM ship) WHERE back <= 120""",
 )
 
 
