@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pose import QUAT, rotation_rows
 from .chunks import spread
+from .keep import keep
 from .phases import spread_samples
 from .quantiles import Stat, exact_quantiles
 from .resample import pose_at
@@ -48,8 +49,9 @@ def pair_transforms(seg: DataFrame, baseline: str, yaw_source: str = "column") -
     cand = pose_at(pairs, seg, t="t0", rotation=turn, clamp_ends=not turn)
     if turn:
         cand = _matrix_yaw(cand)
-    cand = cand.selectExpr(
-        *pairs.columns, "px as cx", "py as cy", "pz as cz", "pyaw as cyaw"
+    cand = keep(
+        cand.selectExpr(*pairs.columns, "px as cx", "py as cy", "pz as cz", "pyaw as cyaw"),
+        "pair_starts",
     )
     base = seg.where(F.col("algorithm") == baseline).drop("algorithm")
     both = pose_at(cand, base, t="t0", keys=["run_id"], rotation=turn, clamp_ends=not turn)
@@ -78,9 +80,12 @@ def pair_errors(seg: DataFrame, pairs: DataFrame, baseline: str, rule: str) -> D
         *key, "i", "samples", "c", "s", "tx", "ty", "tz",
         "if(i = samples - 1, t1, t0 + cast(i as double) * ((t1 - t0) / (samples - 1))) as t",
     )
-    cand = pose_at(grid, seg, t="t", rotation=False, clamp_ends=True).selectExpr(
-        *key, "i", "samples", "t",
-        "c * px - s * py + tx as ax", "s * px + c * py + ty as ay", "pz + tz as az",
+    cand = keep(
+        pose_at(grid, seg, t="t", rotation=False, clamp_ends=True).selectExpr(
+            *key, "i", "samples", "t",
+            "c * px - s * py + tx as ax", "s * px + c * py + ty as ay", "pz + tz as az",
+        ),
+        "pair_samples",
     )
     base = seg.where(F.col("algorithm") == baseline).drop("algorithm")
     return pose_at(cand, base, t="t", keys=["run_id"], rotation=False, clamp_ends=True).selectExpr(
@@ -103,8 +108,8 @@ def error_set(errors: DataFrame, keys: list[str], value: str = "err") -> DataFra
 
 def relative_error(seg: DataFrame, baseline: str, rule: str = "dashboard") -> DataFrame:
     source = "rotation" if rule == "map" else "column"
-    pairs = pair_transforms(seg, baseline, source)
-    out = error_set(pair_errors(seg, pairs, baseline, rule), TRACK)
+    pairs = keep(pair_transforms(seg, baseline, source), "pair_transforms")
+    out = error_set(keep(pair_errors(seg, pairs, baseline, rule), "pair_errors"), TRACK)
     return out.withColumn("profile", F.lit(rule)).withColumn("metric_class", F.lit(RELATIVE_CLASS))
 
 

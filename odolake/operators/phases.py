@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .asof import covering
 from .chunks import CHUNK, islands, neighbour, running, spread
+from .keep import keep
 from .quantiles import Stat, column_quantiles, exact_quantiles
 from .resample import emit_grid, pose_at
 from .tracks import RELATIVE_CLASS, TRACK
@@ -229,7 +230,7 @@ def phase_windows(phases: DataFrame, bounds: DataFrame, hz: float) -> DataFrame:
     c_first, c_last`` (and the pair transform).
     """
     step = f"(1.0D / {float(hz)!r}D)"
-    rows = phases.drop("algorithm").join(bounds, "run_id").selectExpr(
+    rows = phases.drop("algorithm").join(bounds.drop("t0", "t1"), "run_id").selectExpr(
         "*",
         "greatest(start_s, b_first, c_first) as t0",
         "least(end_s, b_last, c_last) as t1",
@@ -251,21 +252,27 @@ def phase_trajectory_metrics(
         *key, "i", "samples", "t0", "t1", "c", "s", "tx", "ty", "tz",
         "if(i = samples - 1, t1, t0 + cast(i as double) * ((t1 - t0) / (samples - 1))) as t",
     )
-    cand = pose_at(grid, seg, t="t", rotation=False, clamp_ends=True).selectExpr(
-        *key, "i", "samples", "t", "proll", "ppitch",
-        "c * px - s * py + tx as ax", "s * px + c * py + ty as ay", "pz + tz as az",
+    cand = keep(
+        pose_at(grid, seg, t="t", rotation=False, clamp_ends=True).selectExpr(
+            *key, "i", "samples", "t", "proll as roll", "ppitch as pitch",
+            "c * px - s * py + tx as ax", "s * px + c * py + ty as ay", "pz + tz as az",
+        ),
+        "phase_samples",
     )
     base = seg.where(F.col("algorithm") == baseline).drop("algorithm")
-    both = pose_at(cand, base, t="t", keys=["run_id"], rotation=False, clamp_ends=True).selectExpr(
-        *key, "i", "samples", "proll", "ppitch", "az",
-        "sqrt(pow(ax - px, 2) + pow(ay - py, 2) + pow(az - pz, 2)) as err", "az - pz as zerr",
+    both = keep(
+        pose_at(cand, base, t="t", keys=["run_id"], rotation=False, clamp_ends=True).selectExpr(
+            *key, "i", "samples", "roll", "pitch", "az",
+            "sqrt(pow(ax - px, 2) + pow(ay - py, 2) + pow(az - pz, 2)) as err", "az - pz as zerr",
+        ),
+        "phase_errors",
     )
     agg = both.groupBy(*key).agg(
         F.expr("sqrt(avg(err * err)) as relative_position_rmse_m"),
         F.expr("sqrt(avg(zerr * zerr)) as relative_z_rmse_m"),
         F.expr("max_by(az, i) - min_by(az, i) as z_change_m"),
-        F.expr("degrees(max(proll) - min(proll)) as roll_range_deg"),
-        F.expr("degrees(max(ppitch) - min(ppitch)) as pitch_range_deg"),
+        F.expr("degrees(max(roll) - min(roll)) as roll_range_deg"),
+        F.expr("degrees(max(pitch) - min(pitch)) as pitch_range_deg"),
     )
     p95 = exact_quantiles(both, key, "err", [Stat("relative_position_p95_m", 0.95)]).drop("n")
     # Gaps between native candidate poses: both ends of a step lie in the window.

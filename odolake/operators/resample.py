@@ -163,36 +163,36 @@ def pose_at(
         exact="after", **extra,
     )
     if clamp_ends:
-        out = out.withColumn("s", F.coalesce("after", "before")).drop("after", "before")
+        out = out.withColumn("__s", F.coalesce("after", "before")).drop("after", "before")
     else:
-        out = out.withColumnRenamed("after", "s")
-    ok = f"s is not null and ({t} >= s.t_first)" if not clamp_ends else "s is not null"
+        out = out.withColumnRenamed("after", "__s")
+    ok = f"__s is not null and ({t} >= __s.t_first)" if not clamp_ends else "__s is not null"
     if max_gap_s is not None:
         ok += (
-            f" and (s.p is null or abs({t} - s.timestamp_s) <= 1e-12D or abs({t} - s.p.timestamp_s) <= 1e-12D"
-            f" or s.timestamp_s - s.p.timestamp_s <= {float(max_gap_s)!r}D)"
+            f" and (__s.p is null or abs({t} - __s.timestamp_s) <= 1e-12D or abs({t} - __s.p.timestamp_s) <= 1e-12D"
+            f" or __s.timestamp_s - __s.p.timestamp_s <= {float(max_gap_s)!r}D)"
         )
     out = out.selectExpr("*", f"({ok}) as valid").selectExpr(
         "*",
-        f"case when s.p is null or {t} >= s.timestamp_s then 1.0D when {t} <= s.p.timestamp_s then 0.0D"
-        f" else ({t} - s.p.timestamp_s) / (s.timestamp_s - s.p.timestamp_s) end as f",
+        f"case when __s.p is null or {t} >= __s.timestamp_s then 1.0D when {t} <= __s.p.timestamp_s then 0.0D"
+        f" else ({t} - __s.p.timestamp_s) / (__s.timestamp_s - __s.p.timestamp_s) end as __f",
     )
     names = {"px": "x_m", "py": "y_m", "pz": "z_m", "proll": "roll_rad", "ppitch": "pitch_rad"}
     picks = [
-        f"case when valid then coalesce(s.p.{c} + f * (s.{c} - s.p.{c}), s.{c}) end as {n}"
+        f"case when valid then coalesce(__s.p.{c} + __f * (__s.{c} - __s.p.{c}), __s.{c}) end as {n}"
         for n, c in names.items()
     ]
-    picks.append("case when valid then coalesce(s.p_yaw_u + f * (s.yaw_u - s.p_yaw_u), s.yaw_u) end as pyaw")
+    picks.append("case when valid then coalesce(__s.p_yaw_u + __f * (__s.yaw_u - __s.p_yaw_u), __s.yaw_u) end as pyaw")
     out = out.selectExpr("*", *picks)
     if rotation:
         out = slerp(
             out,
-            [f"if(valid, coalesce(s.p.{q}, s.{q}), null)" for q in QUAT],
-            [f"s.{q}" for q in QUAT],
-            "f",
+            [f"if(valid, coalesce(__s.p.{q}, __s.{q}), null)" for q in QUAT],
+            [f"__s.{q}" for q in QUAT],
+            "__f",
             [f"p{q}" for q in QUAT],
         )
-    return out.drop("s", "f")
+    return out.drop("__s", "__f")
 
 
 def strict_pose(queries: DataFrame, seg: DataFrame, max_gap_s: float, *, t: str = "t") -> DataFrame:

@@ -470,8 +470,8 @@ def _layout(i):
     scans = i.points().select("run_id", "message_id").distinct()
     fields = scans.selectExpr(
         "run_id", "message_id",
-        "inline(array(struct('x' as name, 0 as offset, 7 as datatype), struct('y', 4, 7),"
-        " struct('z', if(message_id % 7 = 0, 9, 8), 7)))",
+        "inline(array(struct('x' as name, 0 as offset, 7 as datatype), struct('y' as name, 4 as offset, 7 as datatype),"
+        " struct('z' as name, if(message_id % 7 = 0, 9, 8) as offset, 7 as datatype)))",
     )
     want = i.spark.createDataFrame([("x", 0, 7), ("y", 4, 7), ("z", 8, 7)], "name string, offset int, datatype int")
     return points.incompatible_layouts(fields, want)
