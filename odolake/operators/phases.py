@@ -195,10 +195,20 @@ def phase_table(merged: DataFrame, hz: float = PARAMETERS["resample_hz"]) -> Dat
 
 
 def build_phases(seg: DataFrame, params: dict[str, float] | None = None) -> DataFrame:
+    """All steps from the hub table to numbered phases.
+
+    Each stage reads its input several times, so stages are written once.
+    """
     p = {**PARAMETERS, **(params or {})}
-    states = motion_states(motion_grid(seg, p["resample_hz"]), p)
-    merged = merge_short(state_segments(states), p["min_phase_duration_s"], p["resample_hz"])
-    return phase_table(merged, p["resample_hz"])
+    hz = p["resample_hz"]
+    return phases_of(motion_states(keep(motion_grid(seg, hz), "motion_grid"), p), p)
+
+
+def phases_of(states: DataFrame, params: dict[str, float] = PARAMETERS) -> DataFrame:
+    hz = params["resample_hz"]
+    segs = keep(state_segments(keep(states, "motion_states")), "state_segments")
+    merged = keep(merge_short(segs, params["min_phase_duration_s"], hz), "merged_segments")
+    return phase_table(merged, hz)
 
 
 def motion_phases(phases: DataFrame) -> DataFrame:

@@ -244,24 +244,25 @@ class Inputs:
         return self.segments().where(F.col("algorithm") == BASELINE)
 
     def motion(self) -> DataFrame:
-        return self.shared(
-            "motion",
-            lambda: phases.motion_states(
-                phases.motion_grid(self.baseline_segments(), phases.PARAMETERS["resample_hz"])
-            ),
-        )
+        def build():
+            grid = keep(
+                phases.motion_grid(self.baseline_segments(), phases.PARAMETERS["resample_hz"]), "motion_grid"
+            )
+            return phases.motion_states(grid)
+
+        return self.shared("motion", build)
 
     def phase_segments(self) -> DataFrame:
-        return phases.state_segments(self.motion())
+        return self.shared("phase_segments", lambda: phases.state_segments(self.motion()))
 
     def phases(self) -> DataFrame:
         p = phases.PARAMETERS
-        return self.shared(
-            "phases",
-            lambda: phases.phase_table(
-                phases.merge_short(self.phase_segments(), p["min_phase_duration_s"], p["resample_hz"])
-            ),
-        )
+
+        def build():
+            merged = phases.merge_short(self.phase_segments(), p["min_phase_duration_s"], p["resample_hz"])
+            return phases.phase_table(keep(merged, "merged_segments"), p["resample_hz"])
+
+        return self.shared("phases", build)
 
     def thirds(self) -> DataFrame:
         """Three equal parts of the baseline track, as given phases."""

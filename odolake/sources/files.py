@@ -99,7 +99,7 @@ def read_anchors(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return rows.select(*TRACK, F.explode("a").alias("a")).select(*TRACK, "a.*")
 
 
-RUN_STATUS = _struct(
+RUN_STATUS = (
     "run_id string, state string, phase string, algorithms map<string, struct<state:string,reason:string,"
     "output_dir:string,result:struct<status:string,output_dir:string,trajectory_messages:bigint,"
     "algorithm_exit_code:int,smoke_duration_s:double,duration_s:double>>>,"
@@ -109,7 +109,7 @@ RUN_STATUS = _struct(
 
 def read_run_status(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Algorithm records and lifecycle events of run status documents."""
-    df = spark.read.schema(RUN_STATUS).option("multiLine", True).json(path)
+    df = spark.read.schema(_struct(RUN_STATUS)).option("multiLine", True).json(path)
     algorithms = df.select("run_id", F.explode("algorithms").alias("algorithm", "e")).select(
         "run_id", "algorithm", "e.state", "e.reason", F.col("e.output_dir").alias("output_dir"),
         F.col("e.result").isNotNull().alias("has_result"), "e.result.status",
