@@ -181,8 +181,8 @@ add(
     lambda i: tidy(
         report.metric_name_guard(
             i.report().selectExpr(
-                *TRACK, "inline(array(struct('relative_rmse_m' as metric, relative_rmse_m as value), struct('z_range_m', z_range_m),"
-                " struct('frame_rate_hz', duration_s)))",
+                *TRACK, "inline(array(struct('relative_rmse_m' as metric, relative_rmse_m as value), "
+                " struct('z_range_m' as metric, z_range_m as value), struct('frame_rate_hz' as metric, duration_s as value)))",
             ),
             False,
         ),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from odolake.functions.pose import RigidTransform
 from odolake.operators import alignment, jumps, phases, resample, resources, tracks
+from odolake.operators.keep import keep
 
 RAW = "run_id string, algorithm string, arrival_seq bigint, timestamp_s double, x_m double, y_m double, z_m double, qx double, qy double, qz double, qw double, source_topic string"
 
@@ -23,7 +24,7 @@ def raw(spark, rows, algorithm="a"):
 
 
 def seg(spark, poses, algorithm="a", **kw):
-    return tracks.segments(tracks.standardize(raw(spark, poses, algorithm)), **kw)
+    return keep(tracks.segments(tracks.standardize(raw(spark, poses, algorithm)), **kw))
 
 
 def test_standardize_case(spark):
