@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import jumps, logs, points, profile, report
+from ..operators import logs, points, profile, report
 from ..operators.tracks import TRACK
 from .inputs import BASELINE
 from .map_queries import DASH_ERR, EXT_SQL, HEALTH_SQL
