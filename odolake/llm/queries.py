@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, secret_scan
+from . import chat_format, disclosure, language_id, lp_packing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lp_packing.pack(lp_packing.pieces(_table(spark, sf_dir, "documents")))
+
+
+def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(disclosure.find(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_pii_disclosure": op10_pii_disclosure,
 }
 ORACLE: dict[str, str] = {"op6_chat_format": OP6_SQL}
