@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, disclosure, language_id, lp_packing, secret_scan
+from . import chat_format, disclosure, language_id, lp_packing, nra_topk, permutation_index, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
+def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra_topk.top(_table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
+OP4_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+    list_sum(list_transform(list_zip(q.v, e.v), p -> p[1] * p[2]))::BIGINT AS score
+  FROM e AS q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -58,10 +80,12 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_index": op1_permutation_index,
+    "op4_nra_topk": op4_nra_topk,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii_disclosure": op10_pii_disclosure,
 }
-ORACLE: dict[str, str] = {"op6_chat_format": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op6_chat_format": OP6_SQL}
