@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, disclosure, language_id, lp_packing, nra_topk, permutation_index, secret_scan
+from . import chat_format, disclosure, language_id, lp_packing, ngram_join, nra_topk, permutation_index, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), "id % 50 = 0")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_topk.top(_table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
@@ -81,6 +85,7 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
+    "op2_ngram_join": op2_ngram_join,
     "op4_nra_topk": op4_nra_topk,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_format": op6_chat_format,
