@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, disclosure, language_id, lp_packing, ngram_join, nra_topk, permutation_index, secret_scan
+from . import backoff_lm, chat_format, disclosure, language_id, lp_packing, ngram_join, nra_topk, permutation_index, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp_packing.pack(lp_packing.pieces(_table(spark, sf_dir, "documents")))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
+    "op8_backoff_lm": op8_backoff_lm,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii_disclosure": op10_pii_disclosure,
 }
