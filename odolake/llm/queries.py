@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat_format, disclosure, language_id, lp_packing, ngram_join, nra_topk, permutation_index, secret_scan
+from . import backoff_lm, chat_format, disclosure, language_id, lp_packing, ngram_join, nra_topk, permutation_index, secret_scan, suffix_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +22,22 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_topk.top(_table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
 OP4_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, e.vec_id,
-    list_sum(list_transform(list_zip(q.v, e.v), p -> p[1] * p[2]))::BIGINT AS score
+    list_sum([p[1] * p[2] FOR p IN list_zip(q.v, e.v)])::BIGINT AS score
   FROM e AS q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
@@ -90,6 +94,7 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_pieces": op3_suffix_pieces,
     "op4_nra_topk": op4_nra_topk,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_format": op6_chat_format,
