@@ -17,11 +17,11 @@ from .quantiles import Stat, exact_quantiles
 from .resample import pose_at
 from .tracks import RELATIVE_CLASS, TRACK
 
-# Sample-count rules of the pair resamples; results of different rules differ
-# and carry the rule's name.
+# Sample-count rules of the pair resamples, ten a second over the whole common
+# range; results of different rules differ and carry the rule's name.
 COUNT_RULES = {
-    "dashboard": "least(1000L, greatest(2L, cast(ceil((t1 - t0) * 10.0D) as bigint) + 1))",
-    "map": "least(500L, greatest(2L, cast((t1 - t0) * 10.0D as bigint)))",
+    "dashboard": "greatest(2L, cast(ceil((t1 - t0) * 10.0D) as bigint) + 1)",
+    "map": "greatest(2L, cast((t1 - t0) * 10.0D as bigint))",
 }
 
 

@@ -16,7 +16,7 @@ def findings(lines: DataFrame) -> DataFrame:
         lines.withColumn("severity", severity(F.col("text")))
         .where("severity is not null")
         .withColumn("description", description(F.col("text")))
-        .withColumn("text", F.substring(strip(F.col("text")), 1, 500))
+        .withColumn("text", strip(F.col("text")))
     )
 
 

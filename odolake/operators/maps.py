@@ -162,7 +162,8 @@ def voxel_iou(cloud: DataFrame, baseline: str, size: float) -> DataFrame:
 
 LEAF_POINTS = 16
 FAN = 4
-MAX_LEVELS = 24
+# Cells shrink by four per level; beyond this many their numbers would leave 64 bits.
+MAX_LEVELS = 31
 
 
 def _levels(targets: DataFrame) -> list[float]:

@@ -1,11 +1,12 @@
 """Exact order statistics per key by histogram narrowing.
 
 The built-in exact percentile keeps every distinct value of a group in one
-task. Here a group is first counted per magnitude class (map-side combined).
-If a class that holds a wanted rank is still large it is counted again per
-linear slice, and only the rows of the hit cells are ranked. Each pass is a narrow scan plus a
-small shuffle; no pass sorts or gathers a whole group, and copies of one value
-collapse before they are shuffled.
+task. Here a group is first counted per magnitude class (map-side combined), and
+the classes that hold a wanted rank are counted again per linear slice, as often
+as it takes until no slice with different values is large; only the rows of the
+last cells are ranked. Each pass is a narrow scan plus a small shuffle; no pass
+sorts or gathers a whole group, and copies of one value collapse before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .chunks import CHUNK, spread
 from .keep import keep
 
 SLICES = 1024
-# A class of at most this many rows is ranked as it is.
-ROWS_RANKED_AT_ONCE = 500_000
+# Rows of a cell that one task may rank; copies of one value count as one.
+ROWS_RANKED_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -79,25 +80,23 @@ def exact_quantiles(
     same = [F.expr(f"first({c}) as {c}") for c in ("total", "base", "want")]
     cell = [*keys, "c"]
     inside = rows.join(hit.drop("n"), cell)
-    fullest = hit.agg(F.max("n")).first()[0] or 0
-    if fullest > (ROWS_RANKED_AT_ONCE if ranked_at_once is None else ranked_at_once):
-        inside = inside.selectExpr(
-            *cell,
-            "v",
-            "w",
-            f"if(hi > lo, cast(floor((v - lo) / (hi - lo) * {SLICES}) as bigint), 0L) as s",
-            "total",
-            "base",
-            "want",
+    most = ROWS_RANKED_AT_ONCE if ranked_at_once is None else ranked_at_once
+    while True:
+        # Between its least and largest value every cell falls apart into SLICES + 1.
+        inside = inside.withColumn("s", F.expr(f"if(hi > lo, cast(floor((v - lo) / (hi - lo) * {SLICES}) as bigint), 0L)"))
+        slices = inside.groupBy(*cell, "s").agg(
+            F.expr("sum(w) as n"), F.expr("min(v) as l"), F.expr("max(v) as h"), *same
         )
-        slices = inside.groupBy(*cell, "s").agg(F.expr("sum(w) as n"), *same)
-        cell = [*cell, "s"]
         hit = keep(
-            _narrow(slices, cell[:-1], "s").selectExpr(
-                *cell, "total", "upto - n as base", "ranks as want"
+            _narrow(slices, cell, "s").selectExpr(
+                *cell, "s", "n", "total", "l as lo", "h as hi", "upto - n as base", "ranks as want"
             )
         )
-        inside = inside.drop("total", "base", "want").join(hit, cell)
+        number = f"s{len(cell)}"
+        inside = inside.drop("total", "base", "want", "lo", "hi").join(hit.drop("n"), [*cell, "s"]).withColumnRenamed("s", number)
+        cell = [*cell, number]
+        if (hit.where("hi > lo").agg(F.max("n")).first()[0] or 0) <= most:
+            break
     values = inside.groupBy(*cell, "v").agg(F.expr("sum(w) as n"), *same)
     found = _narrow(values, cell, "v").selectExpr(
         *keys, "total", "v", "explode(ranks) as rank"

@@ -118,9 +118,9 @@ def categories(runs: DataFrame, findings: DataFrame) -> DataFrame:
         " when findings > 0 or coalesce(reason, '') <> '' then 'SUCCESS_WITH_WARNINGS'"
         " else 'SUCCESS' end as category",
         "array_compact(array("
-        "if(status = 'SUCCESS' and coalesce(reason, '') <> '', 'status entry contains a stale or unexplained reason', null),"
-        "if(status = 'SUCCESS' and exit_code not in (0, -15), concat('algorithm exit code is ', exit_code), null),"
-        "if(status = 'SUCCESS' and messages <= 0, 'trajectory message count is not positive', null)"
+        "if(status = 'SUCCESS' and coalesce(reason, '') <> '', 'reason_on_success', null),"
+        "if(status = 'SUCCESS' and exit_code not in (0, -15), concat('exit_code=', exit_code), null),"
+        "if(status = 'SUCCESS' and messages <= 0, 'no_track_messages', null)"
         ")) as consistency_issues",
     )
 

@@ -273,9 +273,12 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
     and the walk runs over increasing times. It is then done per chunk in three
     steps: (1) for the few samples that can be the first kept one of a chunk,
     the last kept one; (2) one pass over those border entries per track; (3) the
-    walk inside each chunk from its known start.
+    walk inside each chunk from its known start. Without a least distance every
+    sample stays.
     """
     live = raw.where("timestamp_s <> 0")
+    if min_dt <= 0:  # nothing is too close
+        return live.select(*TRACK, "timestamp_s", "arrival_seq")
     seen = running(
         with_seq_chunk(live, "arrival_seq"),
         TRACK,

@@ -209,7 +209,7 @@ def _pair_grid(transform: str, n: str) -> str:
 ERR = ["rmse_m", "mean_m", "median_m", "p95_m", "max_m"]
 ERR_SQL = f"""count(*) AS samples, {r('sqrt(avg(err * err))', 'rmse_m')}, {r('avg(err)', 'mean_m')}, {r('median(err)', 'median_m')},
               {r('quantile_cont(err, 0.95)', 'p95_m')}, {r('max(err)', 'max_m')}"""
-DASH_ERR = _errors_sql(_pair_grid(TRANSFORM_SQL, "least(1000, greatest(2, CAST(ceil((t1 - t0) * 10e0) AS BIGINT) + 1))"))
+DASH_ERR = _errors_sql(_pair_grid(TRANSFORM_SQL, "greatest(2, CAST(ceil((t1 - t0) * 10e0) AS BIGINT) + 1)"))
 add(
     "relative_error",
     lambda i: tidy(i.relative(), *TRACK, "samples", *ERR, "profile"),
@@ -219,7 +219,7 @@ add(
     "relative_error_map",
     lambda i: tidy(alignment.relative_error(i.segments(), BASELINE, "map"), *TRACK, "samples", *ERR, "profile"),
     f"""SELECT run_id, algorithm, {ERR_SQL}, 'map' AS profile
-        FROM {_errors_sql(_pair_grid(ROT_SQL, "least(500, greatest(2, CAST(trunc((t1 - t0) * 10e0) AS BIGINT)))"))} GROUP BY run_id, algorithm""",
+        FROM {_errors_sql(_pair_grid(ROT_SQL, "greatest(2, CAST(trunc((t1 - t0) * 10e0) AS BIGINT))"))} GROUP BY run_id, algorithm""",
 )
 
 

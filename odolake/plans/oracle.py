@@ -249,7 +249,7 @@ BLOCKS: dict[str, str] = {
                CASE severity WHEN 'CRITICAL' THEN 'process died or memory ran out'
                              WHEN 'HIGH' THEN 'error, exception or sensor time going back'
                              ELSE 'time synchronisation, deskew or data validity warning' END AS description,
-               substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 500) AS text
+               regexp_replace(text, '^\s+|\s+$', '', 'g') AS text
         FROM (SELECT *, CASE
                 WHEN regexp_matches(text, 'NotEnoughMemoryException|terminate called|process has died|segmentation fault|out of memory|\bOOM\b', 'i') THEN 'CRITICAL'
                 WHEN regexp_matches(text, '\[(?:ERROR|FATAL|CRITICAL)\]|\b(abort|exception|assert)\b|loop back|lidar loop back|imu loop back', 'i') THEN 'HIGH'

@@ -49,8 +49,8 @@ add(
     "run_category",
     lambda i: tidy(_categories(i), *TRACK, "category", "consistency_issues"),
     """SELECT run_id, algorithm, category, concat_ws(';',
-              CASE WHEN status = 'SUCCESS' AND reason IS NOT NULL THEN 'status entry contains a stale or unexplained reason' END,
-              CASE WHEN status = 'SUCCESS' AND exit_code NOT IN (0, -15) THEN 'algorithm exit code is ' || exit_code END) AS consistency_issues FROM category""",
+              CASE WHEN status = 'SUCCESS' AND reason IS NOT NULL THEN 'reason_on_success' END,
+              CASE WHEN status = 'SUCCESS' AND exit_code NOT IN (0, -15) THEN 'exit_code=' || exit_code END) AS consistency_issues FROM category""",
 )
 add(
     "category_counts",
@@ -221,11 +221,12 @@ add(
     "map_items",
     lambda i: tidy(
         report.map_items(
-            i.map_metrics().where("algorithm < 'algo_3'").select(*TRACK, "map_points"),
-            i.map_metrics().select(*TRACK, "map_points"),
+            # Each algorithm is a run of its own here; three of them have enhanced rows.
+            i.map_metrics().where("algorithm < 'algo_3'").selectExpr("algorithm as run_id", "algorithm", "map_points"),
+            i.map_metrics().selectExpr("algorithm as run_id", "algorithm", "map_points"),
         )
     ),
-    f"SELECT run_id, algorithm, map_points, 'enhanced' AS map_source FROM {EXT_SQL} WHERE algorithm < 'algo_3'",
+    f"SELECT algorithm AS run_id, algorithm, map_points, CASE WHEN algorithm < 'algo_3' THEN 'enhanced' ELSE 'legacy' END AS map_source FROM {EXT_SQL}",
 )
 add(
     "run_overlay",

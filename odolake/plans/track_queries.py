@@ -322,7 +322,7 @@ add(
     "asof_nearest_resource",
     lambda i: tidy(
         resources.nearest(
-            i.samples().where("seq % 2 = 0").selectExpr(*TRACK, "seq as query_seq", "wall_s / 86400.0D as day"),
+            i.samples().selectExpr(*TRACK, "seq as query_seq", "wall_s / 86400.0D as day"),
             i.ship_samples().selectExpr(*TRACK, "seq", "(day - 10000.0D) / 100.0D as day", "cpu_percent"),
             TRACK, t="day", sample_t="day", order=["seq"], payload=["seq"],
             tie="later", max_age=0.004,
@@ -338,7 +338,7 @@ add(
                   ELSE struct_pack(day := b.t, seq := b.s, cpu_percent := b.c) END AS c
            FROM (SELECT q.run_id, q.algorithm, q.seq AS query_seq, q.wall_s / 86400e0 AS q_day,
                    struct_pack(t := n.day, s := n.seq, c := n.cpu_percent) AS a, struct_pack(t := p.day, s := p.seq, c := p.cpu_percent) AS b
-                 FROM (SELECT *, wall_s / 86400e0 AS d FROM samples WHERE seq % 2 = 0) q
+                 FROM (SELECT *, wall_s / 86400e0 AS d FROM samples) q
                  ASOF LEFT JOIN (SELECT algorithm, (day - 10000e0) / 100e0 AS day, min(seq) AS seq, arg_min(cpu_percent, seq) AS cpu_percent FROM ship GROUP BY ALL) n
                    ON n.algorithm = q.algorithm AND n.day >= q.d
                  ASOF LEFT JOIN (SELECT algorithm, (day - 10000e0) / 100e0 AS day, max(seq) AS seq, arg_max(cpu_percent, seq) AS cpu_percent FROM ship GROUP BY ALL) p
@@ -349,15 +349,13 @@ add(
     lambda i: tidy(
         frames.nearest_frame(
             i.windows().select("run_id", "window_id", "center_s"),
-            i.frames().selectExpr("run_id", "message_id", "header_timestamp_s * 1e-4D as bag_time_s").where(
-                "bag_time_s > 0"
-            ),
+            i.frames().selectExpr("run_id", "message_id", "header_timestamp_s * 1e-4D as bag_time_s"),
             "center_s",
         ),
         "run_id", "window_id", "message_id", "frame_bag_time_s",
     ),
     f"""SELECT w.run_id, w.window_id, f.message_id, {r('f.t', 'frame_bag_time_s')}
-        FROM windows w, LATERAL (SELECT message_id, header_timestamp_s * 1e-4 AS t FROM frames WHERE header_timestamp_s * 1e-4 > 0
+        FROM windows w, LATERAL (SELECT message_id, header_timestamp_s * 1e-4 AS t FROM frames
               ORDER BY abs(header_timestamp_s * 1e-4 - w.center_s), header_timestamp_s LIMIT 1) f""",
 )
 add(
