@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,14 @@ CAPACITY = 4096
 END_ID = 1
 GRAIN = 4
 """Ids per length class; lengths are rounded up, never down."""
-STEP = 0.2
+STEP = 0.5
 """Share of a class that one round may cover at most."""
-ETA = 6.0
+ETA = 3.0
 """How fast a covered class loses weight."""
 SPREAD = 64
 """Sub-counts per length class when pieces are numbered."""
-CACHE = 300_000
+CACHE = 400_000
+"""Distinct chunks that a worker remembers."""
 
 
 def vocabulary() -> str:
@@ -52,31 +54,72 @@ def vocabulary() -> str:
 
 @functools.lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """(tokenizer, whether an id ends a word, ids of known chunks)."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
+    return tokenizer, ends, {}
+
+
+_WORD = np.zeros(256, bool)
+_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not _WORD[c] and c != 0x27]] = True  # an apostrophe may belong to a contraction
+SPECIAL = b"<|"
+
+
+def chunks(text: bytes) -> list[bytes]:
+    """Parts of the text that the vocabulary encodes independently of each other.
+
+    It drops white space, lower-cases, and never joins a letter or digit with a
+    punctuation mark beside it. Only ASCII is judged here. A text that may hold a
+    special token's string is split at white space alone.
+    """
+    if SPECIAL in text:
+        return text.split()
+    a = np.frombuffer(text, np.uint8)
+    word, mark = _WORD[a], _MARK[a]
+    cut = np.flatnonzero(word[:-1] & mark[1:] | mark[:-1] & word[1:]) + 1
+    return (np.insert(a, cut, 0x20).tobytes() if len(cut) else text).lower().split()
+
+
+def _encode_chunks(new: list[bytes], path: str) -> dict[bytes, bytes]:
+    tokenizer, ends, _ = _tokenizer(path)
+    many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    texts = [c.decode("utf-8", "replace") for c in new]
+    # Chunks of plain Latin letters are one word each: they go as one text, whose ids are split at the words' ends.
+    words = [k for k, t in enumerate(texts) if t.isalpha() and max(t) < "\u0130"]
+    out: dict[bytes, bytes] = {}
+    if words:
+        ids = np.array(many([" ".join([texts[k] for k in words])], add_special_tokens=False)[0].ids, "<u4")
+        edge = [0, *(4 * (np.flatnonzero(ends[ids]) + 1)).tolist()]
+        if len(edge) == len(words) + 1:
+            packed = ids.tobytes()
+            out = {new[k]: packed[a:b] for k, a, b in zip(words, edge[:-1], edge[1:])}
+    rest = [k for k, c in enumerate(new) if c not in out]
+    coded = many([texts[k] for k in rest], add_special_tokens=False)
+    return out | {new[k]: array("I", c.ids).tobytes() for k, c in zip(rest, coded)}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit values.
 
-    The vocabulary drops white space and never joins ids across it, so a text is
-    the concatenation of its space-free chunks; each distinct chunk is encoded
-    once and remembered.
+    Each distinct chunk is encoded once and remembered; a text is the
+    concatenation of its chunks.
     """
-    tokenizer, known = _tokenizer(path)
-    chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    new = list(set().union(*chunks) - known.keys())
+    known = _tokenizer(path)[2]
+    parts = [chunks(t.encode("utf-8", "surrogatepass")) for t in texts]
+    used = set().union(*parts)
+    new = list(used.difference(known))
     if new:
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > CACHE:  # go on with what this slice uses
+            kept = {c: known[c] for c in used.intersection(known)}
             known.clear()
-            new = list(set().union(*chunks))
-        many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+            known.update(kept)
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, coded in zip(part, many([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                known[chunk] = np.array(coded.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, c)) for c in chunks]
+            known.update(_encode_chunks(new[at : at + 20_000], path))
+    return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
