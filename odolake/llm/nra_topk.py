@@ -2,10 +2,12 @@
 
 Each block of vectors keeps one list per dimension, sorted by component. A query
 reads its lists from the end where its weight makes products large, in steps. For
-every row met it knows a sum of the products seen; an unseen product lies between
-the least of its list and the product at the list's frontier. Once the k-th best
-lower bound is above the upper bound of every other row, no outsider can qualify;
-the final scores of the rows that are left are then resolved by reading on.
+every row it knows the sum of the products seen; an unseen product lies between
+the least of its list and the product at the list's frontier. Rows whose upper
+bound is below the k-th best lower bound drop out. A query stops once no outsider
+can qualify; the scores of the rows it is left with are then resolved. All queries
+of a block take a step together: what is seen at a depth depends on the weight's
+sign only, so the bounds of all rows and queries are two matrix products.
 
 Components are turned into integers first, so all bounds and scores are exact.
 
@@ -21,62 +23,68 @@ from pyspark.sql import functions as F
 from .vector_blocks import search, usable
 
 K, SCALE = 10, 1024
-STEP = 0.125
-"""Share of a list read between two tests of the bounds."""
+STEPS = (0.25, 0.5, 0.75)
+"""Shares of a list read at the tests of the bounds; behind the last, what is left is resolved."""
+
+
+def exact_type(x: np.ndarray, q: np.ndarray):
+    """double where all sums stay exact in it, else 64-bit integers."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    return np.float64 if most < 2**53 else np.int64
 
 
 class SortedLists:
-    """The columns of a block, each sorted in ascending order, with the rows they come from."""
+    """The columns of a block, each sorted in ascending order, and each row's place in them."""
 
     def __init__(self, x: np.ndarray):
         self.x, self.n = x, len(x)
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.value = np.take_along_axis(x, self.order, 0)
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(self.n)[:, None], 0)
-
-    def top(self, q: np.ndarray, k: int, out: np.ndarray) -> np.ndarray:
-        """The rows that hold the k highest scores, ties at the k-th included; ``out`` gets their scores."""
-        used = np.flatnonzero(q)
-        q, up = q[used], q[used] > 0
-        place, x, value = self.place[:, used], self.x[:, used], self.value[:, used]
-        alive = np.arange(self.n)
-        depth, step = 0, max(1, int(self.n * STEP))
-        least = np.where(up, value[0], value[-1]) * q if len(used) else np.zeros(0, np.int64)
-        while True:
-            depth = min(self.n, depth + step)
-            # Read so far: the `depth` largest places where the weight is positive, the smallest elsewhere.
-            seen = np.where(up, place[alive] >= self.n - depth, place[alive] < depth)
-            product = x[alive] * q
-            low = np.where(seen, product, least).sum(1)
-            if depth == self.n:
-                out[alive] = low
-                break
-            frontier = np.where(up, value[self.n - depth], value[depth - 1]) * q
-            high = np.where(seen, product, frontier).sum(1)
-            if len(alive) > k:
-                bar = np.partition(low, len(low) - k)[len(low) - k]
-                stay = high >= bar
-                alive, seen, low = alive[stay], seen[stay], low[stay]
-            if seen.all() or len(alive) <= k:  # no outsider is left: resolve what is unseen
-                out[alive] = x[alive] @ q
-                break
+        order = np.argsort(x, axis=0, kind="stable")
+        self.value = np.take_along_axis(x, order, 0)
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], 0)
+
+    def candidates(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """rows x queries: whether the row may be among the k highest scores of the query, its number in ``k``."""
+        kind = exact_type(self.x, q)
+        x, value = self.x.astype(kind), self.value.astype(kind)
+        up, down = np.where(q > 0, q, 0).T.astype(kind), np.where(q < 0, q, 0).T.astype(kind)
+        alive = np.ones((self.n, len(q)), bool)
+        open_ = np.flatnonzero(k < self.n)
+        for share in STEPS:
+            depth = int(self.n * share)
+            if not len(open_) or not 0 < depth < self.n:
+                continue
+            above, below = (self.place >= self.n - depth).astype(kind), (self.place < depth).astype(kind)
+            u, d = up[:, open_], down[:, open_]
+            seen = np.hstack([above * x, below * x]) @ np.vstack([u, d])
+            marks = np.hstack([1 - above, 1 - below])  # unseen products
+            low = seen + marks @ np.vstack([u * value[0][:, None], d * value[-1][:, None]])
+            high = seen + marks @ np.vstack([u * value[self.n - depth][:, None], d * value[depth - 1][:, None]])
+            low[~alive[:, open_]] = np.iinfo(np.int64).min // 2
+            most = int(k[open_].max())
+            best = -np.partition(-low, most - 1, axis=0)[:most]
+            best.sort(axis=0)  # ascending: the k-th best stands k places before the end
+            bar = best[most - k[open_], np.arange(len(open_))]
+            alive[:, open_] &= high >= bar
+            open_ = open_[alive[:, open_].sum(0) > k[open_]]
         return alive
 
 
 def _worker(k: int):
     def work(ids, vectors, asked, wanted):
-        lists = SortedLists(vectors)
-        out_q, out_v, out_s = [], [], []
-        score = np.zeros(len(ids), np.int64)
-        for n, q in enumerate(wanted):
-            top = lists.top(q, k + int((ids == asked[n]).sum()), score)
-            top = top[ids[top] != asked[n]]
-            best = top[np.lexsort((ids[top], -score[top]))[:k]]
-            out_q.append(np.full(len(best), n))
-            out_v.append(best)
-            out_s.append(score[best])
-        return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+        own = np.searchsorted(ids, asked, "right") - np.searchsorted(ids, asked)  # rows with the query's id
+        alive = SortedLists(vectors).candidates(wanted, k + own) & (ids[:, None] != asked)
+        kind = exact_type(vectors, wanted)
+        score = (vectors.astype(kind) @ wanted.T.astype(kind)).astype(np.int64)
+        score[~alive] = np.iinfo(np.int64).min
+        most = min(k, len(ids))
+        bar = np.partition(score, len(ids) - most, axis=0)[len(ids) - most]
+        query, row = np.nonzero((alive & (score >= bar)).T)
+        order = np.lexsort((row, -score[row, query], query))
+        query, row = query[order], row[order]
+        best = np.arange(len(query)) - np.searchsorted(query, query) < k
+        query, row = query[best], row[best]
+        return query, row, score[row, query]
 
     return work
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES = 1024, 2048
+BLOCK, QUERIES = 1024, 1024
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
