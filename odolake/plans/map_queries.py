@@ -256,8 +256,52 @@ def _fit(i, method):
     return tidy(alignment.error_set(err, ["algorithm"]), "algorithm", "samples", *ERR)
 
 
+_AXES = "xyz"
+_CELLS = [f"{a}{b}" for a in _AXES for b in _AXES]
+
+
+def _cofactor(a: str, b: str) -> str:
+    """Cofactor of the cell (a, b) of the matrix with the columns q_xx ... q_zz."""
+    (i, j), (k, m) = ([_AXES[(_AXES.index(v) + d) % 3] for d in (1, 2)] for v in (a, b))
+    return f"(q_{i}{k} * q_{j}{m} - q_{i}{m} * q_{j}{k})"
+
+
+def _fit_sql(method: str) -> str:
+    """The fits by closed form (yaw) or by Newton's iteration to the orthogonal part of the cross-covariance."""
+    moments = (
+        "SELECT algorithm, "
+        + ", ".join(f"covar_pop(e{a}, t{b}) * count(*) AS h_{a}{b}" for a in _AXES for b in _AXES)
+        + ", " + ", ".join(f"avg({k}{a}) AS m_{k}{a}" for k in "et" for a in _AXES)
+        + f", (var_pop(ex) + var_pop(ey) + var_pop(ez)) * count(*) AS size_e FROM {MATCH_SQL} GROUP BY algorithm"
+    )
+    if method == "yaw_translation":
+        norm = "sqrt(power(h_xx + h_yy, 2) + power(h_xy - h_yx, 2))"
+        cos, sin = f"(h_xx + h_yy) / {norm}", f"(h_xy - h_yx) / {norm}"
+        cells = dict.fromkeys(_CELLS, "0e0") | {"xx": cos, "xy": f"-({sin})", "yx": sin, "yy": cos, "zz": "1e0"}
+        turned = "SELECT *, " + ", ".join(f"{v} AS q_{c}" for c, v in cells.items()) + " FROM m"
+    else:
+        norm = "sqrt(" + " + ".join(f"power(h_{c}, 2)" for c in _CELLS) + ")"
+        det = "(" + " + ".join(f"q_x{b} * {_cofactor('x', b)}" for b in _AXES) + ")"
+        turned = (
+            "SELECT m.*, " + ", ".join(f"q_{c}" for c in _CELLS) + " FROM m JOIN (SELECT * FROM polar WHERE step = 40) USING (algorithm)"
+        )
+        moments += f"""), polar AS (
+            SELECT algorithm, 0 AS step, {', '.join(f'h_{b}{a} / {norm} AS q_{a}{b}' for a in _AXES for b in _AXES)} FROM m
+            UNION ALL SELECT algorithm, step + 1, {', '.join(f'(q_{a}{b} + {_cofactor(a, b)} / {det}) / 2e0' for a in _AXES for b in _AXES)}
+            FROM polar WHERE step < 40"""
+    scale = "1e0"
+    if method == "Sim3":
+        scale = "(" + " + ".join(f"q_{a}{b} * h_{b}{a}" for a in _AXES for b in _AXES) + ") / size_e"
+    moved = [
+        "(k * (" + " + ".join(f"q_{a}{b} * (p.e{b} - m_e{b})" for b in _AXES) + f") + m_t{a} - p.t{a})" for a in _AXES
+    ]
+    return f"""WITH RECURSIVE m AS ({moments}), turned AS (SELECT *, {scale} AS k FROM ({turned}))
+        SELECT algorithm, {ERR_SQL} FROM (SELECT p.algorithm, sqrt({' + '.join(f'power({v}, 2)' for v in moved)}) AS err
+        FROM {MATCH_SQL} p JOIN turned USING (algorithm)) GROUP BY algorithm"""
+
+
 for _method, _name in (("SE3", "se3"), ("Sim3", "sim3"), ("yaw_translation", "yaw")):
-    add(f"rigid_fit_{_name}", lambda i, m=_method: _fit(i, m))
+    add(f"rigid_fit_{_name}", lambda i, m=_method: _fit(i, m), _fit_sql(_method))
 add(
     "position_error_set",
     lambda i: _fit(i, "translation_only"),

@@ -33,11 +33,12 @@ add(
 add(
     "stream_topic_rates",
     lambda i: tidy(
-        live.drain(live.topic_rates(_live(i).messages(), "1 hour", "10 seconds"), "rates"),
+        live.drain(
+            live.topic_rates(_live(i).messages(), "1 hour", "10 seconds"), "rates", "update", ["run_id", "topic", "window_start"]
+        ),
         "run_id", "topic", "unix_micros(window_start) as window_us", "messages",
     ),
-    """SELECT run_id, topic, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS messages FROM messages
-       WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM messages) GROUP BY ALL""",
+    """SELECT run_id, topic, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS messages FROM messages GROUP BY ALL""",
 )
 
 
@@ -127,7 +128,7 @@ def _sessions(i: Inputs):
     # The step table is itself read as a stream; sessions close in event time.
     folder = steps.inputFiles()[0].rsplit("/", 1)[0]
     stream = i.spark.readStream.schema(steps.schema).parquet(folder)
-    return live.drain(live.jump_sessions(stream, i.limits(), "1 second", "10 seconds"), "sessions")
+    return live.drain(live.jump_sessions(stream, i.limits(), "1 second", "10 seconds"), "sessions", "complete")
 
 
 add("stream_jump_windows", lambda i: tidy(_sessions(i)))

@@ -22,11 +22,13 @@ from ..session import shared_dir
 FILES_PER_BATCH = 64
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Process everything available into a table of the shared folder.
 
-    Append results go through the file sink. Complete and update results are
-    written per batch; for ``complete`` the last batch is the result.
+    Append results go through the file sink; windows still open at the end of
+    the input are not among them. Complete and update results are written per
+    batch and hold open windows too: for ``complete`` the last batch is the
+    result, for ``update`` the last row of every key.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
@@ -45,6 +47,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if mode == "complete":
         last = rows.agg(F.max("batch")).first()[0]
         rows = rows.where(F.col("batch") == last)
+    elif keys:
+        cols = [c for c in rows.columns if c != "batch"]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r"))
+        return newest.select(*(F.col(f"r.{c}").alias(c) for c in cols))
     return rows.drop("batch")
 
 
