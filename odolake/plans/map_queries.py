@@ -50,10 +50,41 @@ add(
               FROM (SELECT *, lag(state) OVER (ORDER BY i) AS p FROM {STATE_SQL})) GROUP BY run_id, algorithm, seg_no""",
 )
 PHASE = ["phase_no", "state", "start_s", "end_s", "duration_s", "return_near_start", "baseline_samples"]
-add("phase_table", lambda i: tidy(i.phases(), "run_id", "phase_id", *PHASE))
+_SPAN = "greatest(1e-1, {0}.l - {0}.s + 1e-1)"
+# The merge as a recursion over the list of segments: each step gives the first
+# one that is too short a neighbour's state and joins what is alike beside it.
+PHASES_SQL = f"""
+    (SELECT run_id, algorithm, 'phase_' || lpad(CAST(no AS VARCHAR), 3, '0') AS phase_id, no AS phase_no, x.state AS state, x.s AS start_s,
+            CASE WHEN e <= x.s THEN x.s + 1e-1 ELSE e END AS end_s, x.near AS return_near_start, x.i1 - x.i0 + 1 AS baseline_samples
+     FROM (SELECT *, coalesce(lead(x.s) OVER (PARTITION BY run_id, algorithm ORDER BY no), x.l) AS e FROM
+       (SELECT run_id, algorithm, unnest(segs) AS x, CAST(unnest(range(len(segs))) AS BIGINT) AS no FROM
+         (WITH RECURSIVE m AS (
+            SELECT run_id, algorithm, list(struct_pack(state := state, i0 := i0, i1 := i1, s := s, l := l, near := near) ORDER BY i0) AS segs FROM
+              (SELECT run_id, algorithm, first(state) AS state, min(i) AS i0, max(i) AS i1, min(timestamp_s) AS s, max(timestamp_s) AS l, bool_or(return_near_start) AS near
+               FROM (SELECT *, sum(CASE WHEN p IS DISTINCT FROM state THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, algorithm ORDER BY i ROWS UNBOUNDED PRECEDING) AS seg_no
+                     FROM (SELECT *, lag(state) OVER (PARTITION BY run_id, algorithm ORDER BY i) AS p FROM {STATE_SQL})) GROUP BY run_id, algorithm, seg_no)
+            GROUP BY run_id, algorithm
+            UNION ALL
+            SELECT run_id, algorithm, segs[:lo - 1] || [struct_pack(state := st, i0 := segs[lo].i0, i1 := segs[hi].i1, s := segs[lo].s, l := segs[hi].l,
+                     near := segs[lo].near OR segs[hi].near OR segs[k].near)] || segs[hi + 1:]
+            FROM (SELECT *, CASE WHEN k > 1 AND segs[k - 1].state = st THEN k - 1 ELSE k END AS lo, CASE WHEN k < len(segs) AND segs[k + 1].state = st THEN k + 1 ELSE k END AS hi
+                  FROM (SELECT *, CASE WHEN k > 1 AND (k = len(segs) OR segs[k - 1].state = segs[k + 1].state
+                                            OR {_SPAN.format('segs[k - 1]')} >= {_SPAN.format('segs[k + 1]')}) THEN segs[k - 1].state ELSE segs[k + 1].state END AS st
+                        FROM (SELECT *, list_position([{_SPAN.format('y')} < 1.5e0 FOR y IN segs], true) AS k FROM m)
+                        WHERE k > 0 AND len(segs) > 1)))
+          SELECT *, row_number() OVER (PARTITION BY run_id, algorithm ORDER BY len(segs)) AS o FROM m)
+        WHERE o = 1)))"""
+add(
+    "phase_table",
+    lambda i: tidy(i.phases(), "run_id", "phase_id", *PHASE),
+    f"""SELECT run_id, phase_id, phase_no, state, {rs('start_s', 'end_s')}, {r('end_s - start_s', 'duration_s')}, return_near_start, baseline_samples
+        FROM {PHASES_SQL}""",
+)
 add(
     "motion_phases",
     lambda i: tidy(phases.motion_phases(i.phases()), "run_id", "phase_id", "state", "start_s", "end_s"),
+    f"""SELECT run_id, phase_id, state, {rs('start_s', 'end_s')} FROM {PHASES_SQL}
+        WHERE state NOT IN ('PRE_MOTION_STATIC', 'POST_MOTION_STATIC')""",
 )
 
 THIRDS_SQL = """(SELECT run_id, 'phase_00' || k AS phase_id, k, a + k * ((b - a) / 3e0) AS start_s,
@@ -72,30 +103,41 @@ def _errors_sql(grid: str) -> str:
                 FROM {pose_sql(moved, 't', 'algo_0')})"""
 
 
-PHASE_GRID_SQL = f"""(SELECT *, CASE WHEN i = n - 1 THEN t1 ELSE t0 + i * ((t1 - t0) / (n - 1)) END AS t
+def _phase_grid_sql(given: str, extra: str = "") -> str:
+    return f"""(SELECT *, CASE WHEN i = n - 1 THEN t1 ELSE t0 + i * ((t1 - t0) / (n - 1)) END AS t
      FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i
            FROM (SELECT *, CASE WHEN t1 <= t0 THEN 0 ELSE greatest(2, CAST(floor((t1 - t0) / (1e0 / 10e0)) AS BIGINT) + 1) END AS n
-                 FROM (SELECT x.run_id, x.algorithm, p.phase_id, p.start_s, p.end_s, x.c, x.s, x.tx, x.ty, x.tz,
+                 FROM (SELECT x.run_id, x.algorithm, p.phase_id, {extra} p.start_s, p.end_s, x.c, x.s, x.tx, x.ty, x.tz,
                               greatest(p.start_s, x.b_first, x.c_first) AS t0, least(p.end_s, x.b_last, x.c_last) AS t1
-                       FROM {TRANSFORM_SQL} x JOIN {THIRDS_SQL} p USING (run_id))) WHERE n > 0))"""
+                       FROM {TRANSFORM_SQL} x JOIN {given} p USING (run_id))) WHERE n > 0))"""
+
 
 PTM = [
     "coverage_ratio", "max_sample_gap_s", "relative_position_rmse_m", "relative_z_rmse_m", "z_change_m",
     "roll_range_deg", "pitch_range_deg", "relative_position_p95_m",
 ]
+
+
+def _phase_metrics_sql(given: str, extra: str = "") -> str:
+    """``extra``: a further column of the phases to carry along."""
+    carried = f"first({extra}) AS {extra}, " if extra else ""
+    grid = _phase_grid_sql(given, f"p.{extra}, " if extra else "")
+    return f"""SELECT run_id, algorithm, phase_id, {extra + ', ' if extra else ''}samples, {rs('coverage_ratio')}, {r('gap', 'max_sample_gap_s')}, {rs(*PTM[2:])}
+        FROM (SELECT run_id, algorithm, phase_id, {carried}first(n) AS samples, least(1e0, (first(t1) - first(t0)) / greatest(1e-9, first(end_s) - first(start_s))) AS coverage_ratio,
+                     sqrt(avg(err * err)) AS relative_position_rmse_m, sqrt(avg(zerr * zerr)) AS relative_z_rmse_m,
+                     arg_max(az, i) - arg_min(az, i) AS z_change_m, 0e0 AS roll_range_deg, 0e0 AS pitch_range_deg,
+                     quantile_cont(err, 0.95) AS relative_position_p95_m, first(t0) AS a, first(t1) AS b
+              FROM {_errors_sql(grid)} GROUP BY run_id, algorithm, phase_id) e
+        LEFT JOIN LATERAL (SELECT max(q.timestamp_s - q.p_t) AS gap FROM seg q WHERE q.algorithm = e.algorithm AND q.p_t >= e.a AND q.timestamp_s <= e.b) ON true"""
+
+
 add(
     "phase_trajectory_metrics",
     lambda i: tidy(
         phases.phase_trajectory_metrics(i.thirds(), i.segments(), i.transforms(), baseline=BASELINE),
         *TRACK, "phase_id", "samples", *PTM,
     ),
-    f"""SELECT run_id, algorithm, phase_id, samples, {rs('coverage_ratio')}, {r('gap', 'max_sample_gap_s')}, {rs(*PTM[2:])}
-        FROM (SELECT run_id, algorithm, phase_id, first(n) AS samples, least(1e0, (first(t1) - first(t0)) / greatest(1e-9, first(end_s) - first(start_s))) AS coverage_ratio,
-                     sqrt(avg(err * err)) AS relative_position_rmse_m, sqrt(avg(zerr * zerr)) AS relative_z_rmse_m,
-                     arg_max(az, i) - arg_min(az, i) AS z_change_m, 0e0 AS roll_range_deg, 0e0 AS pitch_range_deg,
-                     quantile_cont(err, 0.95) AS relative_position_p95_m, first(t0) AS a, first(t1) AS b
-              FROM {_errors_sql(PHASE_GRID_SQL)} GROUP BY run_id, algorithm, phase_id) e
-        LEFT JOIN LATERAL (SELECT max(q.timestamp_s - q.p_t) AS gap FROM seg q WHERE q.algorithm = e.algorithm AND q.p_t >= e.a AND q.timestamp_s <= e.b) ON true""",
+    _phase_metrics_sql(THIRDS_SQL),
 )
 add(
     "phase_report",
@@ -106,6 +148,7 @@ add(
         ),
         *TRACK, "phase_id", "state", "samples", *PTM,
     ),
+    _phase_metrics_sql(PHASES_SQL, "state"),
 )
 
 

@@ -131,4 +131,14 @@ def _sessions(i: Inputs):
     return live.drain(live.jump_sessions(stream, i.limits(), "1 second", "10 seconds"), "sessions", "complete")
 
 
-add("stream_jump_windows", lambda i: tidy(_sessions(i)))
+add(
+    "stream_jump_windows",
+    lambda i: tidy(_sessions(i)),
+    f"""SELECT run_id, algorithm, count(*) AS jump_steps, {r('max(position_step_m)', 'peak_position_step_m')},
+               {r('max(yaw_step_deg)', 'peak_yaw_step_deg')}, {r('min(timestamp_s)', 'start_s')}, {r('max(timestamp_s)', 'end_s')}
+        FROM (SELECT *, sum(opens) OVER (PARTITION BY run_id, algorithm ORDER BY us) AS session
+              FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY run_id, algorithm ORDER BY us) <= 1000000 THEN 0 ELSE 1 END AS opens
+                    FROM (SELECT *, CAST(floor(timestamp_s * 1e6) AS BIGINT) AS us FROM steps JOIN limits USING (run_id, algorithm)
+                          WHERE position_step_m > position_threshold_m OR yaw_step_deg > yaw_threshold_deg)))
+        GROUP BY run_id, algorithm, session""",
+)
