@@ -2,11 +2,12 @@
 
 Pose tracks come from ``events``, clouds and scans from ``embeddings``, log
 lines from ``documents``, a second resource set from ``lineitem``. Tables that
-several plans read are written once per session and input folder.
+several plans read are written once per session and version of the input files.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ RUN = "run_0"
 EPOCH_US = 1704067200000000
 MANIFEST_DURATION_S = 259.0
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple[str, str, int, str], DataFrame] = {}
 
 WALL = f"((unix_micros(cast(ts as timestamp)) - {EPOCH_US}L) / 1e6D)"
 
@@ -38,8 +39,15 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @functools.cached_property
+    def version(self) -> int:
+        """A hash over path, time and length of the folder's files: one row, by listing them."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        return files.load(self.dir).selectExpr("bit_xor(xxhash64(path, modificationTime, length)) as h").first()["h"] or 0
+
     def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        """A table that several plans read, written once for each version of the input files."""
+        key = (self.spark.sparkContext.applicationId, self.dir, self.version, name)
         if key not in _SHARED:
             _SHARED[key] = keep(build(), name)
         return _SHARED[key]

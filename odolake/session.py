@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the cluster's shared checkpoint folder.
 
     The setting is read from the session. Only where it is unset and the
-    master is local does a fresh temporary folder stand in.
+    master is local does a fresh temporary folder stand in, until the end of
+    the program.
     """
     app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,4 +62,5 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="odolake-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
