@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import map_queries, report_queries, stream_queries, track_queries  # noqa: F401
+from . import map_queries, report_queries, source_queries, stream_queries, track_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,23 @@ def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-def _stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
+STEM = r"([^/]+)\.[^./]+$"
+PARENT = r"([^/]+)/[^/]+$"
+FOLDER = r"algorithm=([^/]+)/"
+"""Where the algorithm's name stands in a path: the file's name, its folder, or a partition folder."""
+
+
+def _name(pattern: str) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
+def _place() -> Column:
+    """Order of rows within and over files: path, block, row within the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def read_messages(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
@@ -36,33 +51,40 @@ def read_messages(spark: SparkSession, path: str, topic: str | None = None) -> D
     return df.where(F.col("topic") == topic) if topic else df
 
 
-def read_tracks(spark: SparkSession, path: str, run_id: str, *, drop_non_finite: bool = False) -> DataFrame:
-    """Trajectory CSVs, one per algorithm, with missing angles as 0.
+def read_tracks(
+    spark: SparkSession, path: str, run_id: str, *, drop_non_finite: bool = False, least_stamps: int = 1, name: str = STEM
+) -> DataFrame:
+    """Trajectory CSVs with missing angles as 0.
 
-    The first row of a stamp wins; rows of a file keep their order through
-    ``arrival_seq`` (file rows are numbered by block offset).
+    The first row of a stamp wins, in the order of the files' rows. With
+    ``drop_non_finite`` a row with a non-finite value in any column drops out
+    before that. Tracks of fewer than ``least_stamps`` different stamps drop out.
     """
     schema = _struct(TRACK_SCHEMA)
     df = spark.read.schema(schema).option("header", True).csv(path)
     df = df.select(
         F.lit(run_id).alias("run_id"),
-        _stem(F.input_file_name()).alias("algorithm"),
-        F.monotonically_increasing_id().alias("arrival_seq"),
+        _name(name).alias("algorithm"),
+        _place().alias("place"),
         *POSE,
         *(F.coalesce(F.col(a), F.lit(0.0)).alias(a) for a in ANGLES),
         "source_topic",
     )
     if drop_non_finite:
-        df = df.where(finite(*POSE))
-    rest = [c for c in df.columns if c not in (*TRACK, "timestamp_s")]
-    return (
+        df = df.where(finite(*POSE, *ANGLES))
+    rest = [c for c in df.columns if c not in (*TRACK, "timestamp_s", "place")]
+    rows = (
         df.groupBy(*TRACK, "timestamp_s")
-        .agg(F.min_by(F.struct(*rest), "arrival_seq").alias("r"))
+        .agg(F.min_by(F.struct(*rest), "place").alias("r"))
         .select(*TRACK, "timestamp_s", "r.*")
     )
+    if least_stamps > 1:
+        long = rows.groupBy(*TRACK).agg(F.count("*").alias("stamps")).where(F.col("stamps") >= least_stamps)
+        rows = rows.join(long.select(*TRACK), TRACK, "left_semi")
+    return rows
 
 
-def read_resources(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+def read_resources(spark: SparkSession, path: str, run_id: str, name: str = PARENT) -> DataFrame:
     """Resource records to samples: the history, else the latest sample."""
     item = _struct(SAMPLE)
     schema = T.StructType(
@@ -77,7 +99,7 @@ def read_resources(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     df = spark.read.schema(schema).option("multiLine", True).json(path)
     rows = df.select(
         F.lit(run_id).alias("run_id"),
-        F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("algorithm"),
+        _name(name).alias("algorithm"),
         F.posexplode(F.expr("coalesce(sample_history, if(latest is null, null, array(latest)))")).alias("seq", "s"),
     ).where("s.elapsed_s is not null")
     return rows.select(*TRACK, F.col("seq").cast("bigint").alias("seq"), "s.*").withColumn(
@@ -85,13 +107,13 @@ def read_resources(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     )
 
 
-def read_anchors(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+def read_anchors(spark: SparkSession, path: str, run_id: str, name: str = PARENT) -> DataFrame:
     """Clock anchors stored as a list or below ``anchors``."""
     text = spark.read.text(path, wholetext=True)
     wrapped = T.StructType([T.StructField("anchors", T.ArrayType(ANCHOR))])
     rows = text.select(
         F.lit(run_id).alias("run_id"),
-        F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("algorithm"),
+        _name(name).alias("algorithm"),
         F.coalesce(
             F.from_json("value", wrapped)["anchors"], F.from_json("value", T.ArrayType(ANCHOR))
         ).alias("a"),
@@ -129,15 +151,26 @@ def topic_inventory(metadata: DataFrame) -> DataFrame:
     )
 
 
-def read_log_lines(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """Numbered lines of text logs; undecodable bytes are replaced by the reader."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(
+def read_log_lines(spark: SparkSession, path: str, run_id: str, name: str = PARENT) -> DataFrame:
+    """Numbered lines of text logs, read by block.
+
+    A line's number is its place in its block plus the lines of the blocks ahead,
+    which come from one small row per block; no task holds a whole file.
+    """
+    place = _place()
+    rows = spark.read.text(path).select(
         F.lit(run_id).alias("run_id"),
-        F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("algorithm"),
-        F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("source"),
-        F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "text"),
-    ).selectExpr(*TRACK, "source", "0L as part", "cast(pos + 1 as bigint) as line", "text")
+        _name(name).alias("algorithm"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"),
+        place.alias("place"),
+        F.col("value").alias("text"),
+    ).select("*", "place.path", "place.block")
+    within = Window.partitionBy("path", "block").orderBy("place")
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("k", F.row_number().over(within)).join(blocks, ["path", "block"])
+    return numbered.selectExpr(*TRACK, "source", "0L as part", "before + k as line", "text")
 
 
 # --- sinks ------------------------------------------------------------------
