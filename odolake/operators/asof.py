@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, ROWS_PER_CHUNK, chunk_width
+from .chunks import CHUNK, ROWS_PER_CHUNK, with_chunk
 
 
 def bracket(
@@ -50,10 +50,7 @@ def bracket(
     line = left.withColumn("__side", F.lit(1 - rank)).unionByName(
         right.withColumn("__side", F.lit(rank)), allowMissingColumns=True
     )
-    width = chunk_width(
-        left.select(*keys, "__t").unionByName(right.select(*keys, "__t")), keys, "__t", rows
-    )
-    line = line.withColumn(CHUNK, F.floor(F.col("__t") / width).cast("bigint"))
+    line = with_chunk(line, keys, "__t", "__side", "__o", rows=rows)
 
     edge_key = F.when(F.col("__s").isNotNull(), F.struct("__t", "__o"))
     edges = line.groupBy(*keys, CHUNK).agg(
@@ -79,11 +76,11 @@ def bracket(
         ).rowsBetween(*upto)
         line = line.withColumn("__a", F.last("__s", ignorenulls=True).over(w))
     out = line.where(F.col("__q").isNotNull()).join(carry, [*keys, CHUNK], "left")
-    picks = []
+    picks, timed = [], F.col("__t").isNotNull()  # a query without a time has no neighbour
     if "before" in sides:
-        picks.append(F.coalesce("__b", "__cb").alias("before"))
+        picks.append(F.when(timed, F.coalesce("__b", "__cb")).alias("before"))
     if "after" in sides:
-        picks.append(F.coalesce("__a", "__ca").alias("after"))
+        picks.append(F.when(timed, F.coalesce("__a", "__ca")).alias("after"))
     return out.select(*keys, "__q.*", *picks)
 
 

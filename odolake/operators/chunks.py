@@ -1,7 +1,7 @@
 """Ordered operators that never put a whole track into one task.
 
 A track may hold a third of all rows, so a plain window over the track key is
-not an option. Every track is cut into chunks that are monotone in its order.
+not an option. Every track is cut into chunks of even size, monotone in its order.
 The window runs inside (track, chunk); what crosses a border is carried through
 a table with one row per (track, chunk), which is small, and joined back on the
 same (track, chunk) key the rows are already partitioned by. The same join
@@ -15,39 +15,27 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keep import keep
+
 CHUNK = "chunk"
 ROWS_PER_CHUNK = 250_000
-ONE_CHUNK = 1e18
 # Arrival numbers are dense, so a fixed width bounds the rows of a chunk.
 SEQ_PER_CHUNK = 262_144
 
 
-def chunk_width(df: DataFrame, keys: Sequence[str], t: str, rows: int = ROWS_PER_CHUNK) -> Column:
-    """Width that gives the densest long track about ``rows`` rows per chunk.
+def with_chunk(df: DataFrame, keys: Sequence[str], *order: str, rows: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Chunks of about ``rows`` rows each, in the order of ``keys`` and ``order``.
 
-    A scalar subquery over exact counts and bounds: one narrow, map-side
-    combined pass, the same value in every branch of a plan.
+    The rows are range-partitioned by that order and a chunk is a partition, so
+    chunks are even in rows whatever the times are: a burst, a far stamp or many
+    equal stamps (if ``order`` goes on behind the stamp) change nothing. Ranges are
+    sampled, hence the result is written once; a table of one chunk stays a plan.
     """
-    per_track = df.where(F.col(t).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).cast("double").alias("span")
-    )
-    width = F.when((F.col("n") > rows) & (F.col("span") > 0), F.col("span") * rows / F.col("n"))
-    return per_track.agg(F.coalesce(F.min(width), F.lit(ONE_CHUNK)).alias("w")).scalar()
-
-
-def with_chunk(
-    df: DataFrame,
-    keys: Sequence[str],
-    t: str,
-    *,
-    rows: int = ROWS_PER_CHUNK,
-    width: float | Column | None = None,
-) -> DataFrame:
-    if width is None:
-        width = chunk_width(df, keys, t, rows)
-    elif not isinstance(width, Column):
-        width = F.lit(float(width))
-    return df.withColumn(CHUNK, F.floor(F.col(t).cast("double") / width).cast("bigint"))
+    n = -(-df.count() // rows)
+    if n <= 1:
+        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    cut = df.repartitionByRange(n, *keys, *order)
+    return keep(cut.withColumn(CHUNK, F.spark_partition_id().cast("bigint")), "chunks")
 
 
 def with_seq_chunk(df: DataFrame, seq: str, per_chunk: int = SEQ_PER_CHUNK) -> DataFrame:

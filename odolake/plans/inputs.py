@@ -88,12 +88,12 @@ class Inputs:
         raw = self.raw()
         first = raw.selectExpr(
             *(c for c in raw.columns if c not in ("arrival_seq", "timestamp_s")),
-            "2 * arrival_seq + if(arrival_seq % 83 = 0, 400L, 0L) as arrival_seq",
+            "4 * arrival_seq + if(arrival_seq % 83 = 0, 802L, 0L) as arrival_seq",
             "if(arrival_seq % 71 = 0, 0.0D, timestamp_s) as timestamp_s",
         )
         again = raw.where("arrival_seq % 50 = 0").selectExpr(
             *(c for c in raw.columns if c not in ("arrival_seq", "x_m")),
-            "2 * arrival_seq + 1 as arrival_seq",
+            "4 * arrival_seq + 1 as arrival_seq",
             "x_m + 1.0D as x_m",
         )
         return first.unionByName(again)

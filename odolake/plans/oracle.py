@@ -40,11 +40,11 @@ BLOCKS: dict[str, str] = {
                atan2(2 * (qw / n * (qz / n)), 1 - 2 * (qz / n * (qz / n))) AS yaw_rad
         FROM (SELECT *, sqrt(qz * qz + qw * qw) AS n FROM raw)""",
     "dirty": """
-        SELECT run_id, algorithm, 2 * arrival_seq + CASE WHEN arrival_seq % 83 = 0 THEN 400 ELSE 0 END AS arrival_seq,
+        SELECT run_id, algorithm, 4 * arrival_seq + CASE WHEN arrival_seq % 83 = 0 THEN 802 ELSE 0 END AS arrival_seq,
                CASE WHEN arrival_seq % 71 = 0 THEN 0e0 ELSE timestamp_s END AS timestamp_s, x_m, y_m, z_m, qz, qw
         FROM raw
         UNION ALL
-        SELECT run_id, algorithm, 2 * arrival_seq + 1, timestamp_s, x_m + 1e0, y_m, z_m, qz, qw
+        SELECT run_id, algorithm, 4 * arrival_seq + 1, timestamp_s, x_m + 1e0, y_m, z_m, qz, qw
         FROM raw WHERE arrival_seq % 50 = 0""",
     "lagged": """
         SELECT *, lag(timestamp_s) OVER w AS p_t, lag(x_m) OVER w AS p_x, lag(y_m) OVER w AS p_y,

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from odolake.operators.asof import covering, nearest
+from odolake.operators.asof import bracket, covering, nearest
 from odolake.operators.chunks import neighbour, running, with_chunk
 from odolake.operators.quantiles import Stat, column_quantiles, exact_quantiles, robust_thresholds
 
@@ -104,3 +104,25 @@ def test_covering_last_interval_is_closed(spark):
     i = spark.createDataFrame([("r", "a", 0.0, 1.0, False), ("r", "b", 1.0, 2.0, True)], "k string, id string, s double, e double, last boolean")
     out = covering(s, i, ["k"], t="t", start="s", end="e", payload=["id", "last"], closed=F.col("cover.last"))
     assert {r["t"]: r["id"] for r in out.select("t", "cover.id").collect()} == {0.5: "a", 1.0: "b", 1.5: "b", 2.0: "b", 2.5: None}
+
+
+def test_chunks_are_even_whatever_the_stamps_are(spark):
+    """A burst, one far stamp and many equal stamps in a track: no chunk is much larger than asked for."""
+    rows = [("a", k * 1e-6, k) for k in range(1500)] + [("a", 1.7e9, 1500)] + [("a", 5.0, 2000 + k) for k in range(1500)]
+    rows += [("b", 1e3 * k, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, t double, n long").repartition(5)
+    cut = with_chunk(df, ["k"], "t", "n", rows=100)
+    size = [r["count"] for r in cut.groupBy("chunk").count().collect()]
+    assert len(size) > 20 and max(size) <= 3 * 100
+    ends = {}
+    for r in cut.groupBy("k", "chunk").agg(F.min(F.struct("t", "n")).alias("lo"), F.max(F.struct("t", "n")).alias("hi")).orderBy("k", "chunk").collect():
+        assert r["k"] not in ends or ends[r["k"]] < tuple(r["lo"])
+        ends[r["k"]] = tuple(r["hi"])
+
+
+def test_lookup_of_a_query_without_a_time(spark):
+    q = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0)], "k string, id int, t double")
+    s = spark.createDataFrame([("a", 1.0), ("a", 9.0)], "k string, s double")
+    for rows in (1, 1000):
+        got = {r["id"]: (r["before"], r["after"]) for r in bracket(q, s, ["k"], t="t", sample_t="s", payload=["s"], rows=rows).collect()}
+        assert got[1] == (None, None) and (got[2][0]["t"], got[2][1]["t"]) == (1.0, 9.0)
