@@ -3,19 +3,21 @@
 A document is the set of its distinct 5-word shingles, each a 64-bit hash. The
 shingles are ordered from rare to frequent by a count sketch of fixed size over
 all documents. Two sets of Jaccard similarity t share at least l of the first
-``n - ceil(t n) + l`` shingles of each, for any l; the smaller one can even do with
-``n - ceil(2 t n / (1 + t)) + l``. Each document chooses its l from the estimated
-cost of its candidates: where the lists of its prefix are long it takes a longer
-prefix and asks for more matches; a pair goes by the smaller l of the two.
+``n - ceil(t n) + l`` shingles of each, for any l. Each document chooses its l from
+the estimated cost of its candidates: where the lists of its prefix are long it
+takes a longer prefix and asks for more matches; a pair goes by the smaller l of
+the two.
 
 1. One pass makes the set's size and hash of every document, and the sketch.
 2. One pass posts the prefixes, packed by shingle; equal sets within a batch post
    once. Tasks sort their shingles and keep the lists of two sets or more.
-3. Star rounds: each list links its members, or after a round one member of each
-   component, to the one that starts rarest. Exact verification and connected
-   components then contract the lists, so a group of copies never meets pairwise.
-4. Exact round: all pairs of different components that share l prefix shingles
-   are verified. Nothing is capped.
+3. Star round: the centre of a list is the set that starts rarest. Each set is
+   tried with the TRIES centres it shares most lists with. Exact verification and
+   connected components then contract the lists, so a group of copies never meets
+   pairwise.
+4. Exact round: pairs of different components that meet in the prefixes that a
+   pair of just their sizes needs, and share enough of all they posted, are
+   verified. Nothing is capped.
 
 Equal sets are one node, the set's 64-bit hash; a doc_id is looked up at the end.
 Only counts, the sketch and a bitmap of fixed size pass through the driver.
@@ -50,6 +52,8 @@ VERIFY_COST, POST_COST = 50.0, 2.0
 """Costs of verifying a candidate and of posting a shingle, in reads of a list's entry."""
 PER_BUCKET = 1 << 18
 BITMAP = 1 << 24
+TRIES = 3
+"""Centres that a set is tried with."""
 MEMBERS = 512
 """Sets that one task compares with one centre at a time."""
 
@@ -139,11 +143,6 @@ def least_overlap(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def least_overlap_smaller(n, percent: int = PERCENT):
-    """ceil(2 t n / (1 + t)): the same where the other set is at least as large."""
-    return -(-2 * percent * n // (100 + percent))
-
-
 def choose_level(estimate: np.ndarray, n: int) -> int:
     """The l of least estimated cost, given the list lengths of the ordered shingles."""
     tau = least_overlap(n)
@@ -164,7 +163,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray,
 
 
 _RECORD = np.dtype([("token", "<u8"), ("k", "<i8"), ("n", "<u4"), ("place", "<u4")])
-_LISTS = "token long, k long, n long, pos long, level int, ck long, cn long"
+_LISTS = "token long, k long, n long, pos long, level int, ck long, cn long, cl int"
 
 
 def _poster(shared, buckets: int):
@@ -213,6 +212,7 @@ def _lists(table):
             "level": (r["place"] & 7).astype(np.int32),
             "ck": np.ascontiguousarray(centre["k"]),
             "cn": centre["n"].astype(np.int64),
+            "cl": (centre["place"] & 7).astype(np.int32),
         }
     )
 
@@ -276,7 +276,8 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     sets = keep(_sets_of(docs, ends), "sets")
     salts = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("salts"))
-    members = pairs.join(sets, pairs["b"] == sets["k"]).join(salts, "a").selectExpr("a", "cast(pmod(xxhash64(b), salts) as int) as salt", "b", "set")
+    salted = pairs.join(salts, "a").selectExpr("a", "cast(pmod(xxhash64(b), salts) as int) as salt", "b")
+    members = salted.join(sets, salted["b"] == sets["k"]).select("a", "salt", "b", "set")
     centres = salts.join(sets, salts["a"] == sets["k"]).selectExpr("a", "explode(sequence(0, salts - 1)) as salt", "cast(null as bigint) as b", "set")
     both = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return keep(both.mapInArrow(_compare, "a long, b long"), "links")
@@ -304,44 +305,70 @@ def components(links: DataFrame) -> DataFrame:
 # --- rounds -------------------------------------------------------------------
 
 
-def _rooted(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
     """The lists with the root of each entry; those of one component only are left out."""
-    if links is None:
-        return lists.withColumn("root", F.col("k"))
     rooted = lists.join(components(links), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_ = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     return keep(rooted.join(open_, "token", "left_semi"), "lists")
 
 
+def _needed(n: str, level: str, m: str, other: str) -> str:
+    """SQL: prefix shingles that two sets of n and m share at least if they link.
+
+    One of the two prefixes is known to its end on both sides. Behind it that set
+    has ``least_overlap(n) - level`` shingles, so the rest must lie within it.
+    """
+    overlap = f"ceil({PERCENT} * ({n} + {m}) / {100 + PERCENT})"
+    behind = [f"ceil({PERCENT} * {x} / 100) - {y}" for x, y in ((n, level), (m, other))]
+    return f"({overlap} - greatest({', '.join(behind)}))"
+
+
 _SIZES = f"100 * least(n, cn) >= {PERCENT} * greatest(n, cn)"
 
 
-def _stars(rooted: DataFrame) -> DataFrame:
-    """For each list, the centre with one entry (of least place) of every other component."""
-    one = rooted.groupBy("token", "root").agg(F.min(F.struct("pos", "k", "n")).alias("e"))
-    centre = one.groupBy("token").agg(F.min(F.struct("e", "root")).alias("c"))
-    met = one.join(centre, "token").where("root <> c.root").selectExpr("c.e.k as a", "e.k as b", "c.e.n as cn", "e.n as n")
-    return met.where(_SIZES).select("a", "b").distinct()
+def _stars(lists: DataFrame) -> DataFrame:
+    """Each set with the centres it shares most lists with.
+
+    A centre need not be one in all lists that two sets share, so half of what a
+    link needs will do here; what this leaves out is left to the exact round.
+    """
+    pairs = lists.where("k <> ck").where(_SIZES).groupBy("k", "n", "level", "ck", "cn", "cl").agg(F.count("*").alias("shared"))
+    pairs = pairs.where(f"2 * shared >= {_needed('n', 'level', 'cn', 'cl')}")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("shared"), "ck"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= TRIES).selectExpr("ck as a", "k as b")
 
 
 def _exact(rooted: DataFrame) -> DataFrame:
-    """All pairs of different components that share as many prefix shingles as the smaller level asks."""
-    x = rooted.selectExpr("token", "k as a", "n as na", "pos as pa", "level as la", "root as ra")
-    y = rooted.selectExpr("token", "k as b", "n as nb", "pos as pb", "level as lb", "root as rb")
-    smaller = "cast(ceil({p} * {n} / {q}) as bigint)"
-    met = x.join(y, "token").where("ra <> rb and (na < nb or na = nb and a < b)").where(f"100 * na >= {PERCENT} * nb")
-    met = met.withColumn("l", F.expr("least(la, lb)"))
-    met = met.where(f"pa < na - {smaller.format(p=2 * PERCENT, n='na', q=100 + PERCENT)} + l and pb < nb - {smaller.format(p=PERCENT, n='nb', q=100)} + l")
-    found = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"), F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # What follows the first shared shingle bounds the overlap.
-    return found.where("shared >= l").where(f"least(na - pa, nb - pb) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT})").select("a", "b")
+    """All pairs of different components that can still link.
+
+    Sets of n and m shingles that share ``overlap`` of them share one of their
+    first ``n - overlap + 1`` and ``m - overlap + 1``; the lists are joined on those.
+    A pair found so must then share as many of all posted shingles as its levels
+    ask for.
+    """
+    x = rooted.selectExpr("token", "k as a", "n as na", "pos as pa", "root as ra")
+    y = rooted.selectExpr("token as t", "k as b", "n as nb", "pos as pb", "root as rb")
+    overlap = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT})"
+    met = x.join(
+        y,
+        F.expr(
+            f"token = t and ra <> rb and (na < nb or na = nb and a < b) and 100 * na >= {PERCENT} * nb"
+            f" and pa <= na - {overlap} and pb <= nb - {overlap}"
+        ),
+    )
+    pairs = keep(met.select("a", "b").distinct(), "met")
+    counted = pairs.join(rooted.selectExpr("k as a", "token", "n", "level"), "a").join(
+        rooted.selectExpr("k as b", "token", "n as m", "level as other"), ["b", "token"]
+    )
+    found = counted.groupBy("a", "b", "n", "level", "m", "other").agg(F.count("*").alias("shared"))
+    return found.where(f"shared >= {_needed('n', 'level', 'm', 'other')}").select("a", "b")
 
 
 def _docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stars: int = 2) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     docs = _docs(docs, doc_id, text)
@@ -352,11 +379,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stars: int
     buckets = max(1, math.ceil(total / PER_BUCKET))
     posted = docs.where("doc_id is not null").select("text").mapInArrow(_poster(shared, buckets), "bucket int, records binary")
     lists = keep(posted.groupBy("bucket").applyInArrow(_lists, _LISTS), "lists")
-    first = lists.where("k <> ck").where(_SIZES).selectExpr("ck as a", "k as b").distinct()
-    links = verify(docs, first)
-    lists = lists.drop("ck", "cn")
-    for _ in range(stars - 1):
-        links = links.union(verify(docs, _stars(_rooted(lists, links))))
+    links = verify(docs, _stars(lists))
     links = links.union(verify(docs, _exact(_rooted(lists, links))))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(components(links), "k", "left").withColumn("root", F.coalesce("root", "k"))
