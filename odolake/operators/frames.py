@@ -39,6 +39,11 @@ def select_frames(frames: DataFrame, windows: DataFrame, period_s: float) -> Dat
     return hit.groupBy("run_id", "message_id").agg(F.expr("min(frame_bag_time_s) as bag_time_s"))
 
 
+def frames_of_cases(cases: DataFrame) -> DataFrame:
+    """The different frames that cases need, each with the number of its cases."""
+    return cases.where("message_id is not null").groupBy("run_id", "message_id").agg(F.expr("count(*) as cases"))
+
+
 def case_frames(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """The frame of each case: nearest to its center, else mid view, else middle."""
     target = (

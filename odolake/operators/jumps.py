@@ -142,6 +142,25 @@ def tag_windows(rows: DataFrame, windows: DataFrame, time: str = "bag_time_s") -
     )
 
 
+def tag_all_windows(rows: DataFrame, windows: DataFrame, time: str, bucket_s: float = 60.0, slack: float = 1e-9) -> DataFrame:
+    """Rows with the ids of all windows they fall in, as a ``;`` list in order of start ('' outside).
+
+    Windows may overlap. Each is laid into the buckets of ``bucket_s`` seconds it
+    touches and meets the rows of those buckets only.
+    """
+    b = f"{float(bucket_s)!r}D"
+    spread_out = windows.selectExpr(
+        *TRACK, "window_id", "start_s", "end_s",
+        f"explode(sequence(cast(floor((start_s - {slack}D) / {b}) as bigint), cast(floor((end_s + {slack}D) / {b}) as bigint))) as bucket",
+    )
+    key = [*TRACK, time]
+    at = rows.select(*key).distinct().withColumn("bucket", F.expr(f"cast(floor({time} / {b}) as bigint)"))
+    hits = at.join(spread_out, [*TRACK, "bucket"]).where(f"{time} between start_s - {slack}D and end_s + {slack}D")
+    lists = hits.groupBy(*key).agg(F.expr("array_sort(collect_list(struct(start_s, window_id))) as w"))
+    lists = lists.selectExpr(*key, "array_join(transform(w, x -> x.window_id), ';') as anomaly_window_ids")
+    return rows.join(lists, key, "left").na.fill("", ["anomaly_window_ids"])
+
+
 def representative_windows(windows: DataFrame, unhealthy: DataFrame, limit: int = 6) -> DataFrame:
     """Up to ``limit`` windows per run: the best position jump, the best other
     yaw jump, the best of each unhealthy algorithm, then the best of the rest.

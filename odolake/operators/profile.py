@@ -35,6 +35,17 @@ def with_previous(messages: DataFrame) -> DataFrame:
     )
 
 
+def first_transform(messages: DataFrame, parents: tuple[str, ...], children: tuple[str, ...]) -> DataFrame:
+    """The first transform of each message whose parent and child are among the accepted ones.
+
+    ``messages`` has ``transforms array<struct<parent, child, ...>>``; messages
+    without a match drop out.
+    """
+    hit = F.filter("transforms", lambda t: t["parent"].isin(*parents) & t["child"].isin(*children))
+    out = messages.withColumn("transform", F.get(hit, F.lit(0))).where("transform is not null")
+    return out.drop("transforms")
+
+
 def topic_profile(messages: DataFrame) -> DataFrame:
     """Counts, frame ids, first and last stamps, reversals and offset stats.
 

@@ -733,21 +733,47 @@ add(
               UNION SELECT run_id, max(t) FROM {FRAMES_SQL} GROUP BY run_id) g,
         LATERAL (SELECT message_id, t FROM {FRAMES_SQL} ORDER BY abs(t - g.g), t LIMIT 1) f""",
 )
+def _transforms(i):
+    """Three transforms a message, of which the second or third may be the first that is accepted."""
+    return i.table("events").selectExpr(
+        "'run_0' as run_id", "event_id as message_id",
+        "transform(sequence(0, 2), k -> named_struct('parent', element_at(array('map', 'world', 'odom', 'tool'), cast((event_id + k) % 4 + 1 as int)),"
+        " 'child', element_at(array('base_link', 'lidar', 'camera'), cast((event_id * 2 + k * k) % 3 + 1 as int)), 'x', value + k)) as transforms",
+    )
+
+
 add(
-    "case_frames",
+    "first_transforms",
     lambda i: tidy(
-        frames.case_frames(
-            i.windows().selectExpr(
-                "run_id", "window_id", "start_s", "end_s", "if(window_no % 2 = 0, center_s, null) as center_s",
-                "if(window_no % 3 = 0, null, view_start_s) as view_start_s", "view_end_s",
-            ),
-            _bag_frames(i),
-        ),
-        "run_id", "window_id", "message_id", "target_s",
+        profile.first_transform(_transforms(i), ("map", "odom"), ("base_link", "lidar")),
+        "run_id", "message_id", "transform.parent as parent", "transform.child as child", "transform.x as x",
     ),
-    f"""SELECT w.run_id, w.window_id, f.message_id, {r('w.target', 'target_s')}
+    f"""SELECT run_id, message_id, parent, child, {r('x', 'x')} FROM
+        (SELECT 'run_0' AS run_id, event_id AS message_id, k, ['map', 'world', 'odom', 'tool'][CAST((event_id + k) % 4 + 1 AS INT)] AS parent,
+                ['base_link', 'lidar', 'camera'][CAST((event_id * 2 + k * k) % 3 + 1 AS INT)] AS child, value + k AS x
+         FROM events, range(3) t(k)) WHERE parent IN ('map', 'odom') AND child IN ('base_link', 'lidar')
+        QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY k) = 1""",
+)
+
+
+def _cases(i):
+    return frames.case_frames(
+        i.windows().selectExpr(
+            "run_id", "window_id", "start_s", "end_s", "if(window_no % 2 = 0, center_s, null) as center_s",
+            "if(window_no % 3 = 0, null, view_start_s) as view_start_s", "view_end_s",
+        ),
+        _bag_frames(i),
+    )
+
+
+CASES_SQL = f"""SELECT w.run_id, w.window_id, f.message_id, {r('w.target', 'target_s')}
         FROM (SELECT *, CASE WHEN window_no % 2 = 0 THEN center_s WHEN window_no % 3 <> 0 THEN 0.5e0 * (view_start_s + view_end_s) ELSE 0.5e0 * (start_s + end_s) END AS target FROM windows) w,
-        LATERAL (SELECT message_id, t FROM {FRAMES_SQL} ORDER BY abs(t - w.target), t LIMIT 1) f""",
+        LATERAL (SELECT message_id, t FROM {FRAMES_SQL} ORDER BY abs(t - w.target), t LIMIT 1) f"""
+add("case_frames", lambda i: tidy(_cases(i), "run_id", "window_id", "message_id", "target_s"), CASES_SQL)
+add(
+    "frames_of_cases",
+    lambda i: tidy(frames.frames_of_cases(_cases(i))),
+    f"SELECT run_id, message_id, count(*) AS cases FROM ({CASES_SQL}) GROUP BY run_id, message_id",
 )
 add(
     "window_midpoints",

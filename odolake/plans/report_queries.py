@@ -93,9 +93,10 @@ add(
 add(
     "nominal_path_divergence",
     lambda i: tidy(
-        i.health(), *TRACK, "status", "duration_s", "path_length_m", "nominal_path_m", "minimum_s", "health_flags", "health_valid",
+        i.health(), *TRACK, "status", "duration_s", "path_length_m", "nominal_path_m", "minimum_s", "health_flags", "health_valid", "selection_eligible",
     ),
-    f"SELECT run_id, algorithm, status, {rs('duration_s', 'path_length_m', 'nominal_path_m', 'minimum_s')}, health_flags, health_valid FROM health",
+    f"SELECT run_id, algorithm, status, {rs('duration_s', 'path_length_m', 'nominal_path_m', 'minimum_s')}, health_flags, health_valid,"
+    " (status IS NULL OR status = 'SUCCESS') AND health_flags = '' AS selection_eligible FROM health",
 )
 add(
     "stable_tracks",

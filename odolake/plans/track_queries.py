@@ -305,6 +305,21 @@ add(
     """SELECT t.run_id, t.algorithm, t.i, coalesce(w.window_id, '') AS anomaly_window_ids, coalesce(w.types, '') AS anomaly_types
        FROM timeline t LEFT JOIN tl_windows w ON w.algorithm = t.algorithm AND t.bag_time_s BETWEEN w.start_s - 1e-9 AND w.end_s + 1e-9""",
 )
+add(
+    "timeline_window_lists",  # the windows with their context overlap each other
+    lambda i: tidy(
+        jumps.tag_all_windows(
+            i.timeline(),
+            jumps.anomaly_windows(i.timeline_events()).selectExpr(*TRACK, "window_id", "start_s - 5.0D as start_s", "end_s + 5.0D as end_s"),
+            "bag_time_s",
+        ),
+        *TRACK, "i", "anomaly_window_ids",
+    ),
+    """SELECT t.run_id, t.algorithm, t.i, coalesce(string_agg(w.window_id, ';' ORDER BY w.start_s, w.window_id), '') AS anomaly_window_ids
+       FROM timeline t LEFT JOIN tl_windows w ON w.algorithm = t.algorithm
+         AND t.bag_time_s BETWEEN w.start_s - 5e0 - 1e-9 AND w.end_s + 5e0 + 1e-9
+       GROUP BY t.run_id, t.algorithm, t.i""",
+)
 add(
     "trajectory_only_timeline",
     lambda i: tidy(
