@@ -6,7 +6,7 @@ from ..operators import points
 from ..operators.tracks import TRACK
 from ..streaming import live
 from .inputs import Inputs
-from .oracle import r
+from .oracle import r, rs
 from .registry import add
 from .shape import tidy
 
@@ -42,6 +42,9 @@ add(
 )
 
 
+STANDARD = ["timestamp_s", "x_m", "y_m", "z_m", "qz", "qw", "yaw_rad"]
+
+
 def _poses(i: Inputs):
     raw = _live(i).dirty()
     return raw.selectExpr("*", "timestamp_micros(cast(floor(timestamp_s * 1000000.0D) as bigint)) as ts")
@@ -49,8 +52,15 @@ def _poses(i: Inputs):
 
 add(
     "stream_standardize",
-    lambda i: tidy(live.drain(live.standardize(_poses(i), "1 hour"), "poses"), *TRACK, "timestamp_s"),
-    f"SELECT DISTINCT run_id, algorithm, {r('timestamp_s', 'timestamp_s')} FROM dirty WHERE timestamp_s <> 0",
+    lambda i: tidy(
+        live.drain(live.standardize(_poses(i), "1 hour"), "poses", "update", live.STANDARD_KEY),
+        *TRACK, *STANDARD, "copies",
+    ),
+    f"""SELECT run_id, algorithm, {rs('timestamp_s', 'x_m', 'y_m', 'z_m')}, {r('qz / n', 'qz')}, {r('qw / n', 'qw')},
+               {r('atan2(2 * (qw / n * (qz / n)), 1 - 2 * (qz / n * (qz / n)))', 'yaw_rad')}, copies
+        FROM (SELECT *, sqrt(qz * qz + qw * qw) AS n, count(*) OVER (PARTITION BY run_id, algorithm, timestamp_s) AS copies,
+                     row_number() OVER (PARTITION BY run_id, algorithm, timestamp_s ORDER BY arrival_seq) AS k
+              FROM dirty WHERE timestamp_s <> 0) WHERE k = 1""",
 )
 add(
     "stream_point_counters",

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracks import TRACK
+from ..functions.pose import QUAT, quat_norm, roll_pitch_yaw
+from ..operators.tracks import ANGLES, POSE, TRACK
 from ..session import shared_dir
 
 
@@ -76,13 +77,30 @@ def topic_rates(messages: DataFrame, width: str = "1 second", delay: str = "10 s
     )
 
 
+STANDARD_KEY = [*TRACK, "timestamp_s"]
+
+
 def standardize(poses: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Drop zero stamps and repeated stamps seen within the watermark."""
-    return (
+    """Drop zero stamps, keep the first arrival of each stamp, normalize, add RPY.
+
+    ``poses`` needs ``ts`` (event time) and ``arrival_seq``. A stamp is one small
+    state row until the watermark has passed it; in update mode it is given again
+    should an earlier arrival of it come in a later batch, so ``drain`` takes the
+    last row per STANDARD_KEY. ``copies`` counts the arrivals of the stamp.
+    """
+    first = (
         poses.where("timestamp_s <> 0")
         .withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark([*TRACK, "timestamp_s"])
+        .groupBy(*STANDARD_KEY, "ts")
+        .agg(F.min_by(F.struct(*POSE[1:]), "arrival_seq").alias("r"), F.expr("count(*) as copies"))
+        .select(*STANDARD_KEY, "r.*", "copies")
+    )
+    quat = [F.col(q) for q in QUAT]
+    norm = quat_norm(quat)
+    unit = first.where(norm >= 1e-12).select(
+        *STANDARD_KEY, "x_m", "y_m", "z_m", *((F.col(q) / norm).alias(q) for q in QUAT), "copies"
     )
+    return unit.select("*", *(a.alias(n) for a, n in zip(roll_pitch_yaw(quat), ANGLES)))
 
 
 def conversion_counters(points: DataFrame) -> DataFrame:
