@@ -152,3 +152,26 @@ add(
                           WHERE position_step_m > position_threshold_m OR yaw_step_deg > yaw_threshold_deg)))
         GROUP BY run_id, algorithm, session""",
 )
+
+
+def _imu(i: Inputs):
+    return i.points().selectExpr(
+        "vec_id", "cast(x as double) as ax", "cast(y as double) as ay", "cast(z as double) as az",
+        "if(vec_id % 3 = 0, array(0.0D, 0.0D), array(raw_intensity, 1.0D)) as acc_cov", "if(vec_id % 2 = 0, 'g', 'm/s^2') as unit",
+    )
+
+
+add(
+    "stream_imu_scale",
+    lambda i: tidy(live.drain(points.scale_imu(_imu(_live(i))), "imu"), "vec_id", "ax_si", "ay_si", "az_si", "acc_cov_si[1] as c1"),
+    f"""SELECT vec_id, {', '.join(r(f'{a}::DOUBLE * k', f'a{a}_si') for a in 'xyz')}, {r('CASE WHEN vec_id % 3 = 0 THEN 0e0 ELSE k * k END', 'c1')}
+        FROM (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 9.80665e0 ELSE 1e0 END AS k FROM points)""",
+)
+add(
+    "stream_valid_points",
+    lambda i: tidy(
+        live.drain(points.with_validity(_live(i).points()).where("tag_ok and xyz_ok"), "valid_points"),
+        "run_id", "message_id", "ordinal", "cast(x as double) as x", "cast(y as double) as y", "cast(z as double) as z", "line", "offset_ns",
+    ),
+    f"""SELECT run_id, message_id, ordinal, {', '.join(r(f'{a}::DOUBLE', a) for a in 'xyz')}, line, offset_ns FROM points WHERE (tag & 48) IN (0, 16)""",
+)
