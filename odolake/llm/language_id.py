@@ -26,6 +26,8 @@ from .common import held_out, slices
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
+SLICE = 1 << 18
+"""Characters whose n-grams a task holds at a time, a longer text excepted."""
 REJECT_BELOW = 0.3
 UNKNOWN = "und"
 
@@ -63,7 +65,7 @@ def _counts(batches):
 
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for first, texts in slices(batch, "text"):
+        for first, texts in slices(batch, "text", SLICE):
             grams, at = ngram_buckets(texts)
             mine = np.array(langs[first : first + len(texts)], dtype=object)
             for lang in set(mine):
@@ -116,16 +118,16 @@ def _label(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[
 def _labelled(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` as k0, k1, ... with ``lang_pred`` and ``score`` (posterior of the chosen language)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
+    columns = list(dict.fromkeys([*keep, text]))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)))
+    name = f"k{columns.index(text)}"
 
     def label(batches):
         for batch in batches:
-            pred, score = [], []
-            for _, texts in slices(batch, "text"):
-                a, b = _label(texts, *shared.value)
-                pred += a
-                score += b
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            for first, texts in slices(batch, name, SLICE):
+                pred, score = _label(texts, *shared.value)
+                kept = [c.slice(first, len(texts)) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
     kept = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     return rows.mapInArrow(label, f"{kept}lang_pred string, score double")
