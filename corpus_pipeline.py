@@ -17,22 +17,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from odolake.llm import language_id, lp_packing, ngram_join, secret_scan
+from odolake.llm.common import small_batches
 from odolake.operators.keep import keep
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id.keep_known(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.deduplicate(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return lp_packing.pack(lp_packing.pieces(docs))
 
 

@@ -11,10 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 """Texts are worked on in slices of about this size; a longer text is a slice of its own."""
 
+BATCH_ROWS = 2000
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,6 +26,13 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text are long: hand them to Python in batches of BATCH_ROWS, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over an array of unsigned 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
