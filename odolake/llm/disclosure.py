@@ -142,13 +142,12 @@ def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     df_entity = contexts.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     df_term = rows.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    total = rows.agg(F.count("*").alias("total"))
-    flags = co.join(df_entity, "entity").join(df_term, "term").join(F.broadcast(total))  # one row
+    flags = co.join(df_entity, "entity").join(df_term, "term").withColumn("total", rows.agg(F.count("*")).scalar())
     carried = F.log2(F.col("co") * F.col("total") / (F.col("df_e").cast("double") * F.col("df_t"))) / F.log2(F.col("total") / F.col("df_e"))
     flags = flags.where("df_e < total").select("entity", "term", carried.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    flagged = terms.join(flags, ["entity", "term"]).groupBy("h", "line_at").agg(F.map_from_entries(F.collect_set(F.struct("term", F.lit(0.0)))).alias("m"), F.collect_list(F.struct("term", "disclosure")).alias("terms"))
+    flagged = terms.join(flags, ["entity", "term"]).groupBy("h", "line_at").agg(F.collect_set("term").alias("words"), F.collect_list(F.struct("term", "disclosure")).alias("terms"))
     lines = contexts.select("h", "line_at", "line").dropDuplicates(["h", "line_at"]).join(flagged, ["h", "line_at"])
-    places = F.filter(matches(F.col("line"), WORD), lambda m: F.array_contains(F.map_keys("m"), F.lower(m["match"])))
+    places = F.filter(matches(F.col("line"), WORD), lambda m: F.array_contains("words", F.lower(m["match"])))
     out = lines.select("h", "line_at", "terms", F.explode(places).alias("p"))
     strength = F.array_max(F.transform(F.filter("terms", lambda t: t["term"] == F.lower("p.match")), lambda t: t["disclosure"]))
     return out.select("h", (F.col("line_at") + F.col("p.start")).alias("start"), (F.col("line_at") + F.col("p.end")).alias("end"), strength.alias("disclosure"))
