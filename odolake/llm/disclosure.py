@@ -3,10 +3,11 @@
 Fixed patterns find the protected entities (addresses, numbers). Corpus
 co-occurrence then tells how strongly the words of an entity's lines reveal it:
 for entity e and term t, ``disclosure = PMI(e, t) / IC(e)``, the share of e's
-information content that t carries. ``co`` counts distinct lines with both (so
-copies of one line count once), ``df`` counts documents, over all documents. A
-term of at least MIN_LINES such lines is generalised from GENERALISE on and
-removed from REMOVE on.
+information content that t carries. ``co`` (both on one line) and ``df`` count
+distinct documents, so copies of one document count once. SMOOTH documents are
+added to the term's: one sighting is weak evidence in a small corpus and strong
+in a large one, and no count is too small. A term is generalised from GENERALISE
+on and removed from REMOVE on.
 
 Only DataFrame functions run: matches by ``regexp_extract_all``, their places from
 the lengths of the matches and of what ``split`` leaves between them. Repetitions
@@ -19,7 +20,7 @@ Places are code points, end exclusive. Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.keep import keep
@@ -38,7 +39,8 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 _IP_OK = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 
 GENERALISE, REMOVE = 0.9, 0.97
-MIN_LINES = 2
+SMOOTH = 0.5
+"""Documents that a term is taken to stand in besides those counted."""
 WORD = r"\p{L}{4,}"
 
 
@@ -116,48 +118,50 @@ def base_spans(text: Column) -> Column:
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"h": F.xxhash64("doc_id", "text"), "d": F.xxhash64("text")})
 
 
-def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """h, start, end, disclosure of the words that reveal an entity of their line."""
+def _contexts(found: DataFrame) -> DataFrame:
+    """h, d, line_at, line and the entities of every line that holds one."""
     hits = found.where(F.size("base") > 0).dropDuplicates(["h"]).withColumn("s", F.explode("base"))
     ahead = F.expr("substring(text, 1, cast(s.start as int))")
     line_at = F.length(ahead) - F.expr("instr(reverse(substring(text, 1, cast(s.start as int))), '\\n')")
     line_at = F.when(F.instr(ahead, "\n") > 0, line_at + 1).otherwise(F.lit(0))
     line_end = F.expr("locate('\\n', text, cast(s.end as int) + 1)")
-    contexts = hits.select("h", "text", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), line_at.cast("long").alias("line_at"), line_end.alias("line_end"))
-    contexts = keep(
-        contexts.select(
-            "h",
-            "entity",
-            "line_at",
-            F.expr("substring(text, cast(line_at as int) + 1, if(line_end > 0, line_end - 1, length(text)) - cast(line_at as int))").alias("line"),
-        ).distinct(),
-        "contexts",
-    )
+    lines = hits.select("h", "d", "text", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), line_at.cast("long").alias("line_at"), line_end.alias("line_end"))
+    line = F.expr("substring(text, cast(line_at as int) + 1, if(line_end > 0, line_end - 1, length(text)) - cast(line_at as int))")
+    return lines.select("h", "d", "line_at", line.alias("line"), "entity").groupBy("h", "d", "line_at", "line").agg(F.collect_set("entity").alias("entities"))
+
+
+def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """h, start, end, disclosure of the words that reveal an entity of their line."""
+    contexts = keep(_contexts(found), "contexts")
     words = F.regexp_extract_all(F.lower(F.regexp_replace("line", PATTERNS["email"], " ")), F.lit(WORD), F.lit(0))
-    terms = contexts.select("h", "entity", "line_at", F.xxhash64("line").alias("line"), F.explode(F.array_distinct(words)).alias("term"))
-    co = terms.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= MIN_LINES)
-    df_entity = contexts.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    terms = contexts.select("h", "d", "line_at", F.explode("entities").alias("entity"), F.array_distinct(words).alias("words")).select("h", "d", "line_at", "entity", F.explode("words").alias("term"))
+    co = terms.select("entity", "term", "d").distinct().groupBy("entity", "term").agg(F.count("*").alias("co"))
+    df_entity = contexts.select(F.explode("entities").alias("entity"), "d").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    df_term = rows.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    flags = co.join(df_entity, "entity").join(df_term, "term").withColumn("total", rows.agg(F.count("*")).scalar())
-    carried = F.log2(F.col("co") * F.col("total") / (F.col("df_e").cast("double") * F.col("df_t"))) / F.log2(F.col("total") / F.col("df_e"))
+    df_term = rows.select("d", "text").dropDuplicates(["d"]).select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    flags = co.join(df_entity, "entity").join(df_term, "term").withColumn("total", rows.select("d").distinct().agg(F.count("*")).scalar())
+    carried = F.log2(F.col("co") * F.col("total") / (F.col("df_e") * (F.col("df_t") + SMOOTH))) / F.log2(F.col("total") / F.col("df_e"))
     flags = flags.where("df_e < total").select("entity", "term", carried.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    flagged = terms.join(flags, ["entity", "term"]).groupBy("h", "line_at").agg(F.collect_set("term").alias("words"), F.collect_list(F.struct("term", "disclosure")).alias("terms"))
-    lines = contexts.select("h", "line_at", "line").dropDuplicates(["h", "line_at"]).join(flagged, ["h", "line_at"])
-    places = F.filter(matches(F.col("line"), WORD), lambda m: F.array_contains("words", F.lower(m["match"])))
-    out = lines.select("h", "line_at", "terms", F.explode(places).alias("p"))
-    strength = F.array_max(F.transform(F.filter("terms", lambda t: t["term"] == F.lower("p.match")), lambda t: t["disclosure"]))
-    return out.select("h", (F.col("line_at") + F.col("p.start")).alias("start"), (F.col("line_at") + F.col("p.end")).alias("end"), strength.alias("disclosure"))
+    flagged = terms.join(flags, ["entity", "term"]).groupBy("h", "line_at", "term").agg(F.max("disclosure").alias("disclosure"))
+    # Places by a running sum over the words and the gaps before them, so that long contexts cost no more than their length.
+    with_flags = contexts.join(flagged.select("h", "line_at").distinct(), ["h", "line_at"])
+    found_words = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
+    gaps = F.slice(F.split("line", WORD, -1), 1, F.size(found_words))
+    places = with_flags.select("h", "line_at", F.posexplode(F.arrays_zip(found_words.alias("m"), gaps.alias("g"))).alias("k", "p"))
+    places = places.select("h", "line_at", "k", F.lower("p.m").alias("term"), F.length("p.m").alias("n"), (F.length("p.g") + F.length("p.m")).alias("step"))
+    end = F.col("line_at") + F.sum("step").over(Window.partitionBy("h", "line_at").orderBy("k"))
+    out = places.withColumn("end", end).join(flagged, ["h", "line_at", "term"])
+    return out.select("h", (F.col("end") - F.col("n")).alias("start"), "end", "disclosure")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, base (spans of the fixed kinds) and terms (start, end, disclosure) of every document."""
     rows = _rows(docs, doc_id, text)
     found = rows.withColumn("base", base_spans(F.col("text")))
-    kept = keep(found.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "entities")
+    kept = keep(found.select("doc_id", "h", "d", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "entities")
     terms = revealing_terms(rows, kept).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,disclosure:double>>)")
     # A term inside an entity stays with the entity.

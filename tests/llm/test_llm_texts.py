@@ -197,6 +197,20 @@ def test_copies_of_one_line_reveal_nothing(spark):
     assert disclosure.find(docs(spark, [])).collect() == []
 
 
+def test_entities_of_one_document_have_terms(spark):
+    # One distinct line, in copies or alone: in a corpus of this size one sighting is enough.
+    given = [(k, "meet quixotic people at eve@corp.example") for k in range(5)] + [(9, "call zorblax people: +1 (555) 010-9999")]
+    given += [(50 + k, f"meet call people {k}") for k in range(200)]
+    out = rows(disclosure.digest(disclosure.find(docs(spark, given))))
+    assert {out[k].spans for k in range(5)} == {"term:5:13,email:24:40"}
+    assert out[9].spans == "term:5:12,phone:21:38"
+
+
+def test_terms_are_found_on_the_whole_table(spark):
+    out = disclosure.find(spark.read.parquet(TABLE)).where("size(terms) > 0")
+    assert out.count() > 0
+
+
 # --- chat formatting ----------------------------------------------------------
 
 
