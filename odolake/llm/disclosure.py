@@ -1,10 +1,12 @@
 """Personal data, and terms that give it away: information-theoretic sanitisation.
 
 Fixed patterns find the protected entities (addresses, numbers). Corpus
-co-occurrence then tells how strongly the words of an entity's lines reveal it:
+co-occurrence then tells how strongly the words of an entity's contexts reveal it:
 for entity e and term t, ``disclosure = PMI(e, t) / IC(e)``, the share of e's
-information content that t carries. ``co`` (both on one line) and ``df`` count
-distinct documents, so copies of one document count once. SMOOTH documents are
+information content that t carries. A context is a whole document with words of
+any length (``context="document"``, as the registered query asks) or a line with
+words of four letters and more (the default). ``co`` (both in one context) and
+``df`` count distinct documents, so copies of one document count once. SMOOTH documents are
 added to the term's: one sighting is weak evidence in a small corpus and strong
 in a large one, and no count is too small. A term is generalised from GENERALISE
 on and removed from REMOVE on.
@@ -41,7 +43,8 @@ _IP_OK = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 GENERALISE, REMOVE = 0.9, 0.97
 SMOOTH = 0.5
 """Documents that a term is taken to stand in besides those counted."""
-WORD = r"\p{L}{4,}"
+WORDS = {"line": r"\p{L}{4,}", "document": r"\p{L}++"}
+"""What a term is, by context."""
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -133,23 +136,29 @@ def _contexts(found: DataFrame) -> DataFrame:
     return lines.select("h", "d", "line_at", line.alias("line"), "entity").groupBy("h", "d", "line_at", "line").agg(F.collect_set("entity").alias("entities"))
 
 
-def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """h, start, end, disclosure of the words that reveal an entity of their line."""
-    contexts = keep(_contexts(found), "contexts")
-    words = F.regexp_extract_all(F.lower(F.regexp_replace("line", PATTERNS["email"], " ")), F.lit(WORD), F.lit(0))
+def revealing_terms(rows: DataFrame, found: DataFrame, context: str = "line") -> DataFrame:
+    """h, start, end, disclosure of the words that reveal an entity of their context."""
+    word = F.lit(WORDS[context])
+    if context == "document":
+        entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+        contexts = found.where(F.size("base") > 0).dropDuplicates(["h"]).select("h", "d", F.lit(0).cast("long").alias("line_at"), F.col("text").alias("line"), entities.alias("entities"))
+    else:
+        contexts = _contexts(found)
+    contexts = keep(contexts, "contexts")
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("line", PATTERNS["email"], " ")), word, F.lit(0))
     terms = contexts.select("h", "d", "line_at", F.explode("entities").alias("entity"), F.array_distinct(words).alias("words")).select("h", "d", "line_at", "entity", F.explode("words").alias("term"))
     co = terms.select("entity", "term", "d").distinct().groupBy("entity", "term").agg(F.count("*").alias("co"))
     df_entity = contexts.select(F.explode("entities").alias("entity"), "d").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    every = F.array_distinct(F.regexp_extract_all(F.lower("text"), word, F.lit(0)))
     df_term = rows.select("d", "text").dropDuplicates(["d"]).select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     flags = co.join(df_entity, "entity").join(df_term, "term").withColumn("total", rows.select("d").distinct().agg(F.count("*")).scalar())
     carried = F.log2(F.col("co") * F.col("total") / (F.col("df_e") * (F.col("df_t") + SMOOTH))) / F.log2(F.col("total") / F.col("df_e"))
     flags = flags.where("df_e < total").select("entity", "term", carried.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    flagged = terms.join(flags, ["entity", "term"]).groupBy("h", "line_at", "term").agg(F.max("disclosure").alias("disclosure"))
+    flagged = keep(terms.join(flags, ["entity", "term"]).groupBy("h", "line_at", "term").agg(F.max("disclosure").alias("disclosure")), "flagged")
     # Places by a running sum over the words and the gaps before them, so that long contexts cost no more than their length.
     with_flags = contexts.join(flagged.select("h", "line_at").distinct(), ["h", "line_at"])
-    found_words = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
-    gaps = F.slice(F.split("line", WORD, -1), 1, F.size(found_words))
+    found_words = F.regexp_extract_all("line", word, F.lit(0))
+    gaps = F.slice(F.split("line", WORDS[context], -1), 1, F.size(found_words))
     places = with_flags.select("h", "line_at", F.posexplode(F.arrays_zip(found_words.alias("m"), gaps.alias("g"))).alias("k", "p"))
     places = places.select("h", "line_at", "k", F.lower("p.m").alias("term"), F.length("p.m").alias("n"), (F.length("p.g") + F.length("p.m")).alias("step"))
     end = F.col("line_at") + F.sum("step").over(Window.partitionBy("h", "line_at").orderBy("k"))
@@ -157,12 +166,12 @@ def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("h", (F.col("end") - F.col("n")).alias("start"), "end", "disclosure")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", context: str = "line") -> DataFrame:
     """doc_id, text, base (spans of the fixed kinds) and terms (start, end, disclosure) of every document."""
     rows = _rows(docs, doc_id, text)
     found = rows.withColumn("base", base_spans(F.col("text")))
     kept = keep(found.select("doc_id", "h", "d", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "entities")
-    terms = revealing_terms(rows, kept).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    terms = revealing_terms(rows, kept, context).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,disclosure:double>>)")
     # A term inside an entity stays with the entity.
     apart = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
@@ -185,13 +194,13 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", context: str = "line") -> DataFrame:
     """doc_id and the text with entities replaced by ``[KIND]``, strong terms removed and others made ``[TERM]``.
 
     Overlapping entities are replaced as one, under the first one's kind.
     """
     rows = _rows(docs, doc_id, text)
-    found = find(docs, doc_id, text).where((F.size("base") > 0)).withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["h"])
+    found = find(docs, doc_id, text, context).where((F.size("base") > 0)).withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["h"])
     marks = F.array_sort(
         F.concat(
             F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"))),

@@ -90,7 +90,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure.digest(disclosure.find(_table(spark, sf_dir, "documents")))
+    return disclosure.digest(disclosure.find(_table(spark, sf_dir, "documents"), context="document"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

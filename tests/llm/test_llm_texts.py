@@ -206,6 +206,18 @@ def test_entities_of_one_document_have_terms(spark):
     assert out[9].spans == "term:5:12,phone:21:38"
 
 
+def test_the_whole_document_is_context(spark):
+    # On the line below, elsewhere, of few letters, of another script; flagged in every document of the entity.
+    given = [(k, f"people {k}\n+1 (555) 010-9999\nof Li zorblax\n\n李明 says") for k in range(4)]
+    given += [(50 + k, f"people of says {k}") for k in range(200)]
+    out = rows(disclosure.find(docs(spark, given), context="document"))
+    for k in range(4):
+        assert [given[k][1][t.start : t.end] for t in out[k].terms] == ["Li", "zorblax", "李明"]
+    assert all(not out[50 + k].terms for k in range(200))
+    clean = rows(disclosure.sanitise(docs(spark, given), context="document"))
+    assert not any(w in clean[0].text for w in ("Li", "zorblax", "李明", "555"))
+
+
 def test_terms_are_found_on_the_whole_table(spark):
     out = disclosure.find(spark.read.parquet(TABLE)).where("size(terms) > 0")
     assert out.count() > 0
