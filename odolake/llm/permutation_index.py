@@ -5,11 +5,11 @@ vectors every pivot has an inverted file: the vectors that hold it among their
 PREFIX nearest, with its place there. A query walks the files of its own PREFIX
 nearest pivots and adds up, for each vector it meets, how far apart the two
 places are (the footrule distance; a pivot absent from a prefix counts as placed
-at its end). The SHARE of a block with the least footrule is reranked by cosine
-in double precision.
+at its end). The SHARE of a block with the least footrule, and all that tie with
+its last, is reranked by cosine in double precision.
 
-Pivots are the PIVOTS usable vectors with the smallest hash of their id: a sample
-of fixed size. Every vector is indexed. SHARE is a share of the block, so recall
+Pivots are the first PIVOTS different vectors among the SPARE times as many usable
+ones with the smallest hash of their id: a sample of fixed size. Every vector is indexed. SHARE is a share of the block, so recall
 does not fall as the table grows.
 
 Cases: see ``vector_blocks``; zero vectors take no part either. Fewer vectors than
@@ -26,6 +26,8 @@ from .vector_blocks import search, usable
 
 PIVOTS, PREFIX, SHARE, LEAST = 512, 128, 0.10, 32
 """LEAST: candidates reranked per block and query at least."""
+SPARE = 4
+"""Rows looked at for each pivot, as equal vectors make one pivot."""
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -65,14 +67,15 @@ class InvertedFiles:
 def _worker(pivots: np.ndarray, prefix: int, share: float, least: int, k: int):
     def work(ids, vectors, asked, wanted):
         x, q = unit(vectors), unit(wanted)
-        files = InvertedFiles(permutations(x, pivots, prefix), len(pivots))
+        own, same = np.unique(x, axis=0, return_inverse=True)  # a product may round equal rows apart
+        files = InvertedFiles(permutations(own, pivots, prefix)[same.ravel()], len(pivots))
         most = min(len(ids), max(least, k + 1, int(np.ceil(share * len(ids)))))
         out_q, out_v, out_s = [], [], []
         for n, perm in enumerate(permutations(q, pivots, prefix)):
             far = files.footrule(perm)
-            near = np.argpartition(far, most - 1)[:most] if most < len(ids) else np.arange(len(ids))
+            near = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
             near = near[ids[near] != asked[n]]
-            cosine = x[near] @ q[n]
+            cosine = (x[near] * q[n]).sum(1)  # the same for equal rows of all blocks
             best = np.lexsort((ids[near], -cosine))[:k]
             out_q.append(np.full(len(best), n))
             out_v.append(near[best])
@@ -85,10 +88,10 @@ def _worker(pivots: np.ndarray, prefix: int, share: float, least: int, k: int):
 def nearest(table: DataFrame, queries: str, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) for the rows whose ``id`` meets the SQL condition ``queries``."""
     rows = usable(table, vec_id, vector).where("exists(v, x -> x <> 0)")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SPARE * pivots).collect()
     dims: dict[int, list] = {}
-    for r in sample:
-        dims.setdefault(r["dim"], []).append(r["v"])
+    for v in list(dict.fromkeys(tuple(r["v"]) for r in sample))[:pivots]:
+        dims.setdefault(len(v), []).append(v)
     shared = table.sparkSession.sparkContext.broadcast({d: unit(np.array(v)) for d, v in dims.items()})
 
     def work(ids, vectors, asked, wanted):

@@ -43,6 +43,19 @@ def test_recall_of_the_whole_table(spark):
     assert hit / total >= 0.9
 
 
+def test_ties_in_a_large_group_of_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    ids = rng.permutation(3000)
+    x[::3] = x[0]
+    out = permutation_index.nearest(vectors(spark, [(int(i), v.tolist()) for i, v in zip(ids, x.astype(np.float32))]), "id % 50 = 0").collect()
+    group = np.sort(ids[::3])
+    asked = [int(q) for q in group if q % 50 == 0]
+    assert asked
+    for q in asked:
+        assert [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])] == group[group != q][:5].tolist()
+
+
 def test_small_tables_are_searched_whole(spark):
     given = [(k, [math.cos(k), math.sin(k), 0.5]) for k in range(0, 30)] + [(60 + k, [1.0, 0.0, 0.5]) for k in range(3)] + ODD
     out = permutation_index.nearest(vectors(spark, given), "id % 10 = 0").collect()
