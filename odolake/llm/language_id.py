@@ -29,6 +29,8 @@ ALPHA = 0.5
 SLICE = 1 << 18
 """Characters whose n-grams a task holds at a time, a longer text excepted."""
 REJECT_BELOW = 0.3
+FLOOR, ERRORS = 0.001, 3.0
+"""The share of a language's labelled texts that may fit it worse than a text must; standard errors granted for length."""
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -105,17 +107,52 @@ def scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _label(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+def fits(texts: list[str], s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How well each language explains each text: log-likelihood per n-gram, plus ERRORS standard errors for its length."""
+    p = np.exp(table[:-1])
+    deviation = np.sqrt(np.maximum(0, (p * table[:-1] ** 2).sum(0) - (p * table[:-1]).sum(0) ** 2))
+    n = np.array([sum(max(0, len(t.lower()) - k + 1) for k in ORDERS) for t in texts]).clip(1)[:, None]
+    return (s - table[-1]) / n + ERRORS * deviation / np.sqrt(n)
+
+
+def floors(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", lang: str = "lang") -> np.ndarray:
+    """What a text of each language must reach: the FLOOR quantile of the fits of the texts that carry its label."""
+    langs = model[0]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+
+    def fit(batches):
+        langs, table = shared.value
+        index = {x: k for k, x in enumerate(langs)}
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for first, texts in slices(batch, "text", SLICE):
+                mine = [k for k, t in enumerate(texts) if own[first + k] in index and _LETTER.search(t)]
+                if mine:
+                    texts = [texts[k] for k in mine]
+                    column = np.array([index[own[first + k]] for k in mine])
+                    value = fits(texts, scores(texts, table), table)[np.arange(len(mine)), column]
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[c] for c in column], pa.string()), pa.array(value)], names=["lang", "fit"])
+
+    least = rows.mapInArrow(fit, "lang string, fit double").groupBy("lang").agg(F.percentile_approx("fit", FLOOR, 100000).alias("least"))
+    found = {r["lang"]: r["least"] for r in least.collect()} if langs else {}
+    return np.array([found.get(x, -np.inf) for x in langs]) - 1e-9
+
+
+def _label(texts: list[str], langs: list[str], table: np.ndarray, least: np.ndarray | None = None) -> tuple[list[str], list[float]]:
     if not langs:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
     s = scores(texts, table)
     best = s.argmax(1)
     p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
     letters = [bool(_LETTER.search(t)) for t in texts]
+    if least is not None:
+        fit = fits(texts, s, table)[np.arange(len(texts)), best]
+        letters = [a and bool(b) for a, b in zip(letters, fit >= least[best])]
     return [langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)], [float(x) if ok else 0.0 for x, ok in zip(p, letters)]
 
 
-def _labelled(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str, keep: list[str]) -> DataFrame:
+def _labelled(docs: DataFrame, model: tuple, text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` as k0, k1, ... with ``lang_pred`` and ``score`` (posterior of the chosen language)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([*keep, text]))
@@ -148,8 +185,12 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents in a language that the model knows; the columns stay as they are.
 
-    A document goes if its text has no letter or no language reaches REJECT_BELOW.
+    A document goes if its text has no letter, if no language reaches REJECT_BELOW
+    or if the one chosen explains its n-grams worse than the ``floors`` of that
+    language: the posterior only compares the learned languages, so that text in
+    none of them needs this second look.
     """
     train = docs.where(f"not {held_out('doc_id', 4, 2)}").where("doc_id is not null")
-    out = _labelled(docs, learn(train), "text", docs.columns).where(f"lang_pred <> '{UNKNOWN}' and score >= {REJECT_BELOW}")
+    model = learn(train)
+    out = _labelled(docs, (*model, floors(docs, model)), "text", docs.columns).where(f"lang_pred <> '{UNKNOWN}' and score >= {REJECT_BELOW}")
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -91,6 +91,16 @@ def test_language_stage_keeps_clean_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(4, 21))
 
 
+def test_language_stage_drops_what_is_in_no_known_language(spark):
+    table = spark.read.parquet(TABLE).select("doc_id", "text", "lang")
+    strange = ["Это предложение написано на русском языке", "これは日本語の文章です。", "xq zzkj wvvq pqxz", "!!!@@@###$$$ a %%%^^^&&&***"]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(strange)], "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in language_id.keep_known(table.unionByName(more)).select("doc_id").collect()]
+    assert min(kept) >= 0
+    known = table.where("lang is not null and text rlike '[a-zA-Z]'").count()
+    assert len(kept) >= 0.99 * known
+
+
 # --- secrets ------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
