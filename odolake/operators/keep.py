@@ -19,4 +19,16 @@ def keep(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of kept tables that no later plan reads; other tables are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_kept_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
