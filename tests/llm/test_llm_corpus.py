@@ -82,6 +82,9 @@ def test_join_loses_no_link(spark, monkeypatch, seed):
     if seed:  # a coarse sketch and few entries per bucket change the plan, not the result
         monkeypatch.setattr(ngram_join, "PER_BUCKET", 200)
         monkeypatch.setattr(ngram_join, "MEMBERS", 3)
+    if seed == 2:  # hot shingles over several tasks, long lists in parts
+        monkeypatch.setattr(ngram_join, "HOT", 4)
+        monkeypatch.setattr(ngram_join, "PART", 3)
     rng = random.Random(seed)
     given = list(enumerate(variants(rng, 160)))
     assert joined(docs(spark, given)) == plain_join(given)
@@ -134,6 +137,25 @@ def test_copies_leave_one_document(spark):
     assert any(r.doc_id == 6 for r in kept.collect())
 
 
+def test_copies_of_repeated_ids(spark):
+    a, b = "one two three four five six", "a b c d e f g h i j"
+    given = [(1, a), (1, b), (2, a), (3, b + " k"), (3, b + " k"), (3, ""), (3, ""), (4, None), (2, "other text of its own")]
+    rows_ = docs(spark, given).withColumnRenamed("k", "first_id").withColumnRenamed("n", "OWN_hash").withColumnRenamed("token", "first_hash")
+    kept = ngram_join.deduplicate(rows_)
+    assert kept.columns == rows_.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, b), (1, a), (2, "other text of its own"), (3, ""), (4, "")]
+
+
+def test_posts_are_packed_without_loss():
+    rng = np.random.default_rng(0)
+    r = np.empty(1000, ngram_join._RECORD)
+    r["token"], r["k"] = rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2), rng.integers(-(1 << 62), 1 << 62, 1000)
+    r["n"], r["place"] = rng.integers(0, 1 << 31, 1000), rng.integers(0, 1 << 31, 1000)
+    assert (ngram_join._unpack(*ngram_join._pack(r, True)) == r).all()
+    short = ngram_join._unpack(*ngram_join._pack(r, False))
+    assert (short["token"] == r["token"] % np.uint64(1 << 48)).all() and all((short[c] == r[c]).all() for c in ("k", "n", "place"))
+
+
 # --- SentencePiece ------------------------------------------------------------
 
 
