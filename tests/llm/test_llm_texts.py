@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+import regex
 
 from odolake.llm import backoff_lm, chat_format, disclosure, language_id, secret_scan
 from odolake.llm.common import word_hashes
@@ -233,6 +234,50 @@ def test_terms_are_found_on_the_whole_table(spark):
     assert out.count() > 0
 
 
+def plain_terms(given):
+    """{text: [(start, end, disclosure)]} by the formula, with the document as context."""
+    texts = {t or "" for _, t in given}
+    spans = {t: sorted((m.start(), n, m.end(), m[0]) for n, (p, ok) in enumerate(PII) for m in p.finditer(t) if ok(m[0])) for t in texts}
+    entities = {t: {f"{disclosure.KINDS[n]}:{v.lower()}" for _, n, _, v in s} for t, s in spans.items()}
+    words = {t: set(regex.findall(r"\p{L}+", t.lower())) for t in texts}
+    context = {t: set(regex.findall(r"\p{L}+", PII[0][0].sub(" ", t).lower())) for t in texts if entities[t]}
+    df_t = collections.Counter(w for t in texts for w in words[t])
+    df_e = collections.Counter(e for t in texts for e in entities[t])
+    co = collections.Counter((e, w) for t in context for e in entities[t] for w in context[t])
+    best = collections.defaultdict(dict)
+    for t in context:
+        for e in entities[t]:
+            if df_e[e] < len(texts):
+                for w in context[t]:
+                    v = math.log2(co[e, w] * len(texts) / (df_e[e] * (df_t[w] + disclosure.SMOOTH))) / math.log2(len(texts) / df_e[e])
+                    best[t][w] = max(v, best[t].get(w, -9))
+    out = {}
+    for t in context:
+        places = [(m.start(), m.end(), best[t].get(m[0].lower(), -9)) for m in regex.finditer(r"\p{L}+", t)]
+        out[t] = [(a, b, v) for a, b, v in places if v >= disclosure.GENERALISE and not any(s < b and a < e for s, _, e, _ in spans[t])]
+    return out
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_terms_of_whole_tables_are_those_of_the_formula(spark, monkeypatch, few):
+    monkeypatch.setattr(disclosure, "FEW", few)
+    monkeypatch.setattr(disclosure, "BLOCK", 5)
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(TABLE).collect()]
+    many = " ".join(f"name{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} user{k}@many.example" for k in range(2000))
+    given += [(9001, many), (9002, many), (9002, many), (9003, "see user7@many.example, quirkname and zanzibar"), (9004, None), (9005, "")]
+    given += [(9100 + k, "the same copy of quartzite for ann@copies.example") for k in range(40)]
+    want = plain_terms(given)
+    out = disclosure.find(docs(spark, given), context="document").collect()
+    assert len(out) == len(given)
+    texts = {i: t or "" for i, t in given}
+    for r in out:
+        found, terms = [(t.start, t.end, t.disclosure) for t in r.terms], want.get(texts[r.doc_id], [])
+        assert [f[:2] for f in found] == [t[:2] for t in terms], r.doc_id
+        assert all(abs(f[2] - t[2]) < 1e-9 for f, t in zip(found, terms))
+    assert len(want[many]) > 1000 and sum(map(len, want.values())) > len(want[many])
+    assert disclosure.find(docs(spark, []), context="document").collect() == []
+
+
 # --- chat formatting ----------------------------------------------------------
 
 
