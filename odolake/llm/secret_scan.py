@@ -2,7 +2,8 @@
 
 A long run of credential characters that a byte-pair vocabulary can only spell
 in short tokens is random text: few characters per token. Known digests (hex of
-the usual lengths, UUIDs), numbers and identifiers are left out first. Each text
+the usual lengths, UUIDs), numbers and identifiers (short words joined by
+separators) are left out first; letters alone are tested like any other run. Each text
 is read whole; a vectorised regular-expression filter finds the few texts with a
 candidate at all, and only those are scanned match by match.
 
@@ -37,7 +38,8 @@ RATIO = 2.1
 """Characters per token below which a run counts as random."""
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.I)
-_IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_/-]+[A-Za-z]+)*[_/-]*[0-9]{0,4}")
+_NUMBER = re.compile(r"[0-9+/_=-]+")
+_IDENTIFIER = re.compile(r"[_/-]*[A-Za-z]{1,14}(?:[_/-]+[A-Za-z]{1,14})+[_/-]*[0-9]{0,4}")
 
 # What a text must hold to have a match of each kind at all.
 _HINTS = (
@@ -71,9 +73,7 @@ def _random_runs(text: str, taken: list[tuple[int, int]], encoding) -> list[tupl
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, e in taken):
+        if any(p.fullmatch(run) for p in (_NUMBER, _DIGEST, _IDENTIFIER)) or any(s < m.end() and m.start() < e for s, e in taken):
             continue
         if len(run) / len(encoding.encode_ordinary(run)) < RATIO:
             found.append(m.span())

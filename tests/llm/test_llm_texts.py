@@ -139,6 +139,37 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert all("random" not in out[k].spans for k in (2, 3, 4, 5))
 
 
+def plain_random(text, encoding):
+    """Spans of the method, run by run."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in plain_base(text).split(",") if x]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        run = m[0]
+        tail = re.sub(r"[0-9]{1,4}$", "", run)
+        named = len([x for x in re.split(r"[_/-]+", tail) if x]) > 1 and all(re.fullmatch("[A-Za-z]{1,14}", x) for x in re.split(r"[_/-]+", tail) if x)
+        digest = re.fullmatch(r"(?i)[0-9a-f]+", run) and len(run) in (32, 40, 56, 64, 96, 128) or re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", run)
+        if len(run) < 20 or named or digest or not re.search("[A-Za-z]", run) or any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        if len(run) < 2.1 * len(encoding.encode_ordinary(run)):
+            out.append(f"random:{m.start()}:{m.end()}")
+    return out
+
+
+def test_random_spans_of_whole_tables_and_long_texts(spark):
+    rng = random.Random(3)
+    encoding = secret_scan._encoding(*secret_scan.vocabulary())
+    lower, alnum = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    strings = {name: ["".join(rng.choices(chars, k=32)) for _ in range(300)] for name, chars in (("lower", lower), ("alnum", alnum))}
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(TABLE.replace("0.001", "0.01")).collect()]
+    given = table + [(10_000 + k, f"words before {x} and after") for k, x in enumerate(strings["lower"] + strings["alnum"])]
+    given += [(20_000, " some_long_identifier_of_words/in-parts2 " * 20_000 + strings["alnum"][0]), (20_001, strings["lower"][0]), (20_001, strings["lower"][0]), (20_002, "12345678901234567890123 SOME_LONG_CONSTANT_NAME_HERE")]
+    out = secret_scan.digest(secret_scan.scan(docs(spark, given))).collect()
+    want = {(i, ",".join(sorted([*(x for x in plain_base(t or "").split(",") if x), *plain_random(t or "", encoding)], key=lambda x: int(x.split(":")[1])))) for i, t in given}
+    assert {(r.doc_id, r.spans) for r in out} == want and len(out) == len(given)
+    found = sum("random" in r.spans for r in out if 10_000 <= r.doc_id < 10_600)
+    assert found >= 0.97 * 600 and not any("random" in r.spans for r in out if r.doc_id < 10_000)
+
+
 def test_redaction(spark):
     given = docs(spark, [(1, "é token = abcdef0123456789 z"), (2, "clean"), (3, None), (4, "")])
     out = rows(secret_scan.redact(given))
