@@ -33,7 +33,12 @@ FLOOR, ERRORS = 0.001, 3.0
 """The share of a language's labelled texts that may fit it worse than a text must; standard errors granted for length."""
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+def has_letter(text: str) -> bool:
+    """Whether a character has the letter property (numbers in circles, raised figures and fractions have not)."""
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -127,7 +132,7 @@ def floors(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
         for batch in batches:
             own = batch.column(1).to_pylist()
             for first, texts in slices(batch, "text", SLICE):
-                mine = [k for k, t in enumerate(texts) if own[first + k] in index and _LETTER.search(t)]
+                mine = [k for k, t in enumerate(texts) if own[first + k] in index and has_letter(t)]
                 if mine:
                     texts = [texts[k] for k in mine]
                     column = np.array([index[own[first + k]] for k in mine])
@@ -145,7 +150,7 @@ def _label(texts: list[str], langs: list[str], table: np.ndarray, least: np.ndar
     s = scores(texts, table)
     best = s.argmax(1)
     p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-    letters = [bool(_LETTER.search(t)) for t in texts]
+    letters = [has_letter(t) for t in texts]
     if least is not None:
         fit = fits(texts, s, table)[np.arange(len(texts)), best]
         letters = [a and bool(b) for a, b in zip(letters, fit >= least[best])]

@@ -75,10 +75,11 @@ def test_language_matches_a_plain_bayes(spark):
 
 
 def test_language_odd_rows(spark):
-    given = [(1, None), (2, ""), (3, "12 !? _"), (4, "the cat", "en"), (4, "the cat", "en"), (None, "the cat", "en"), (6, "le chat", None), (7, "the dog", "en")]
+    given = [(1, None), (2, ""), (3, "12 !? _"), (4, "the cat", "en"), (4, "the cat", "en"), (None, "the cat", "en"), (6, "le chat", None), (7, "the dog", "en"), (8, "² ½ ① Ⅻ _"), (9, "日")]
     out = language_id.identify(docs(spark, given)).collect()
-    assert len(out) == 8
-    assert {r.lang_pred for r in out if r.doc_id in (1, 2, 3)} == {"und"}
+    assert len(out) == 10
+    assert {r.lang_pred for r in out if r.doc_id in (1, 2, 3, 8)} == {"und"}
+    assert {r.lang_pred for r in out if r.doc_id == 9} == {"en"}
     assert all(r.held_out is False for r in out if r.doc_id is None)
     assert language_id.identify(docs(spark, [])).collect() == []
     alone = language_id.identify(docs(spark, [(6, "le chat", None)])).collect()
