@@ -318,6 +318,40 @@ def output_dirs(runs: DataFrame) -> DataFrame:
     )
 
 
+def existing_output_dirs(runs: DataFrame, folders: DataFrame) -> DataFrame:
+    """Output folder of each track: the recorded one (of the result first) if it exists, else the default.
+
+    ``folders``: dir of every folder that exists.
+    """
+    named = runs.withColumn("dir", F.expr("coalesce(nullif(result_output_dir, ''), nullif(output_dir, ''))"))
+    there = folders.select("dir").distinct().withColumn("exists", F.lit(True))
+    return named.join(there, "dir", "left").withColumn(
+        "effective_dir", F.expr("if(coalesce(exists, false), dir, concat(run_id, '/raw/', algorithm))")
+    ).drop("dir", "exists")
+
+
+def fallback_order(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """Algorithms to rebuild per run, in order, and those left out.
+
+    ``listed``: run_id, source, priority, pos, algorithm, where the source of the
+    least priority that a run has counts alone. ``files``: run_id, algorithm of
+    every trajectory there is. Without any listed one, all that are there follow
+    by name, their source being the files. decision is use or omitted.
+    """
+    have = files.select(*TRACK).distinct().withColumn("there", F.lit(True))
+    best = listed.groupBy("run_id").agg(F.min("priority").alias("priority"))
+    rows = listed.join(best, ["run_id", "priority"]).join(have, TRACK, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    usable = rows.where("there").select("run_id").distinct()
+    found = have.join(usable, "run_id", "left_anti").selectExpr(
+        *TRACK, "'files' as source", "row_number() over (partition by run_id order by algorithm) - 1L as pos", "'use' as decision"
+    )
+    ranked = rows.selectExpr(
+        *TRACK, "source", "row_number() over (partition by run_id, there order by pos, algorithm) - 1L as pos",
+        "if(there, 'use', 'omitted') as decision",
+    )
+    return ranked.unionByName(found)
+
+
 def bundle_summary(report: DataFrame) -> DataFrame:
     """The twelve-column export."""
     return report.select(

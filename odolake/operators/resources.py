@@ -186,8 +186,9 @@ def cpu_distribution(samples: DataFrame) -> DataFrame:
     )
 
 
-def summary(samples: DataFrame) -> DataFrame:
-    return samples.groupBy(*TRACK).agg(
+def summary(samples: DataFrame, totals: bool = False) -> DataFrame:
+    """Means and peaks per track; with ``totals`` also per run (no algorithm) and over all (no run)."""
+    return (samples.rollup(*TRACK) if totals else samples.groupBy(*TRACK)).agg(
         F.expr("count(*) as samples"),
         F.expr("avg(cpu_percent) as mean_cpu_percent"),
         F.expr("max(cpu_percent) as peak_cpu_percent"),
@@ -198,6 +199,20 @@ def summary(samples: DataFrame) -> DataFrame:
     )
 
 
+def summary_with_medians(samples: DataFrame) -> DataFrame:
+    """``summary`` of every level with the exact median and linear P95 CPU of each.
+
+    A row counts once in each level; the levels are narrowed together.
+    """
+    levels = "inline(array(struct(2 as level, run_id as r, algorithm as a), struct(1 as level, run_id as r, '' as a), struct(0 as level, '' as r, '' as a)))"
+    rows = samples.where("cpu_percent is not null").selectExpr("cpu_percent as cpu", levels)
+    stats = [Stat("median_cpu_percent"), Stat("p95_cpu_percent", 0.95)]
+    q = exact_quantiles(rows, ["level", "r", "a"], "cpu", stats).drop("n")
+    level = "if(run_id is null, 0, if(algorithm is null, 1, 2))"
+    top = summary(samples, totals=True).selectExpr("*", f"{level} as level", "coalesce(run_id, '') as r", "coalesce(algorithm, '') as a")
+    return top.join(q, ["level", "r", "a"], "left").drop("level", "r", "a")
+
+
 def latest_n(samples: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The last ``n`` samples per track. The rank filter becomes a group limit
     that each map task applies before the shuffle."""

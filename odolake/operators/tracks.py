@@ -136,9 +136,13 @@ def _ends() -> list:
     ]
 
 
-def path_metrics(seg: DataFrame) -> DataFrame:
-    """Samples, duration, length, end displacement and Z figures per track."""
-    agg = seg.groupBy(*TRACK).agg(
+def path_metrics(seg: DataFrame, totals: bool = False) -> DataFrame:
+    """Samples, duration, length, end displacement and Z figures per track.
+
+    With ``totals`` also per run (no algorithm) and over all (no run): the figures
+    of all its segments, from the earliest to the latest pose.
+    """
+    agg = (seg.rollup(*TRACK) if totals else seg.groupBy(*TRACK)).agg(
         F.expr("count(*) as samples"),
         F.expr("max(timestamp_s) - min(timestamp_s) as duration_s"),
         F.expr(f"coalesce(sum({STEP}), 0.0D) as path_length_m"),

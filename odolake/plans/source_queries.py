@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import report
 from ..operators.tracks import ANGLES, POSE, TRACK
 from ..session import shared_dir
 from ..sources import files
@@ -248,3 +249,168 @@ def _topic(i: Inputs) -> DataFrame:
     path = _path(i, "messages")
     i.messages().write.partitionBy("topic").parquet(path)
     return files.read_messages(i.spark, path, "/view")
+
+
+# --- broken input -------------------------------------------------------------
+
+
+def _broken_logs(i: Inputs) -> str:
+    """Event lines in numbered logs; every seventh line holds bytes that are no UTF-8."""
+    path = _path(i, "broken-logs")
+    line = "concat('event ', event_id, if(event_id % 7 = 0, cast(X'FFFE' as string), ''), ' end')"
+    rows = i.table("events").selectExpr("event_type as algorithm", "event_id", f"{line} as text")
+    rows = rows.repartitionByRange("algorithm", "event_id").sortWithinPartitions("algorithm", "event_id")
+    rows.select("algorithm", "text").write.partitionBy("algorithm").text(path)
+    return path
+
+
+add(
+    "read_broken_logs",
+    lambda i: tidy(files.read_log_lines(i.spark, _broken_logs(i), RUN, files.FOLDER), "algorithm", "text"),
+    """SELECT event_type AS algorithm, 'event ' || event_id || CASE WHEN event_id % 7 = 0 THEN chr(65533) || chr(65533) ELSE '' END || ' end' AS text FROM events""",
+)
+
+
+def _broken_documents(i: Inputs) -> str:
+    """A document for each user and type: some cut off, some a list, some with a text for a number, some with bad bytes."""
+    path = _path(i, "broken-documents")
+    e = i.table("events").groupBy("user_id", "event_type").agg(F.expr("count(*) as n"))
+    value = """case user_id % 5
+        when 0 then concat('{"user":', user_id, ',"type":"', event_type, '","n":')
+        when 1 then concat('[', user_id, ']')
+        when 2 then concat('{"user":', user_id, ',"type":"', event_type, '","n":"many"}')
+        when 3 then concat('{"user":', user_id, ',"type":"', event_type, cast(X'FF' as string), '","n":', n, ',"more":[1]}')
+        else concat('{"user":', user_id, ',"type":"', event_type, '"}') end"""
+    e.selectExpr(f"{value} as value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+DOCUMENT = "user bigint, type string, n bigint"
+add(
+    "read_documents",
+    lambda i: tidy(files.read_documents(i.spark, _broken_documents(i), DOCUMENT)[0], "user", "type", "n"),
+    """SELECT user_id AS user, event_type || CASE WHEN user_id % 5 = 3 THEN chr(65533) ELSE '' END AS type, CASE WHEN user_id % 5 = 3 THEN count(*) END AS n
+        FROM events WHERE user_id % 5 >= 3 GROUP BY user_id, event_type""",
+)
+add(
+    "rejected_documents",
+    lambda i: tidy(files.read_documents(i.spark, _broken_documents(i), DOCUMENT)[1], "rtrim('\n', text) as text"),
+    """SELECT CASE user_id % 5 WHEN 0 THEN '{"user":' || user_id || ',"type":"' || event_type || '","n":' WHEN 1 THEN '[' || user_id || ']'
+               ELSE '{"user":' || user_id || ',"type":"' || event_type || '","n":"many"}' END AS text
+        FROM events WHERE user_id % 5 < 3 GROUP BY user_id, event_type""",
+)
+
+
+# --- files as they are --------------------------------------------------------
+
+
+def _nation_files(i: Inputs) -> str:
+    """A list of customers for each nation, in the order of their keys."""
+    path = _path(i, "nations")
+    rows = i.table("customer").selectExpr("c_nationkey as algorithm", "c_custkey", "concat(c_custkey, ' ', c_mktsegment) as text")
+    rows.repartition("algorithm").sortWithinPartitions("algorithm", "c_custkey").select("algorithm", "text").write.partitionBy("algorithm").text(path)
+    return path
+
+
+BLOCK = 512
+add(
+    "file_digests",
+    lambda i: tidy(
+        files.block_digests(files.list_files(i.spark, _nation_files(i)), BLOCK),
+        "regexp_extract(path, 'algorithm=([^/]+)/', 1) as algorithm", "size_bytes", "digest",
+    ),
+    f"""WITH f AS (SELECT c_nationkey AS n, string_agg(c_custkey || ' ' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY c_nationkey),
+       b AS (SELECT n, strlen(t) AS size, k, sha256(substr(t, k * {BLOCK} + 1, {BLOCK})) AS d FROM f, LATERAL (SELECT unnest(range((strlen(t) + {BLOCK} - 1) // {BLOCK})) AS k)),
+       g AS (SELECT n, size, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY k)) END AS d FROM b GROUP BY n, size)
+       SELECT n::VARCHAR AS algorithm, size AS size_bytes, sha256(size || ':' || d) AS digest FROM g""",
+)
+
+
+_PAIRS = "SELECT DISTINCT user_id % 24 AS u, event_id % 10 AS a FROM events"
+_THERE = "(u + a) % 3 = 0 AND u % 5 <> 0 OR u % 8 = 1 AND a < 3"
+
+
+def _pairs(i: Inputs) -> DataFrame:
+    return i.table("events").selectExpr("user_id % 24 as u", "event_id % 10 as a").distinct()
+
+
+def _trajectories(i: Inputs) -> DataFrame:
+    """run_id and algorithm of trajectory files found on disk."""
+    path = _path(i, "trajectories")
+    rows = _pairs(i).where(_THERE).selectExpr("concat('run_', u) as run_id", "concat('algo_', a) as algorithm", "'0 0 0' as value")
+    rows.write.partitionBy(*TRACK).text(path)
+    return files.list_files(i.spark, path).selectExpr(
+        "regexp_extract(path, 'run_id=([^/]+)/', 1) as run_id", "regexp_extract(path, 'algorithm=([^/]+)/', 1) as algorithm"
+    )
+
+
+def _listed(i: Inputs) -> DataFrame:
+    p = _pairs(i)
+    full = p.where("u % 3 = 0 and a >= 4").selectExpr("u", "a", "'full_comparison' as source", "1 as priority", "10 - a as pos")
+    manifest = p.where("u % 2 = 0").selectExpr("u", "a", "'manifest' as source", "2 as priority", "a as pos")
+    return full.unionByName(manifest).selectExpr("concat('run_', u) as run_id", "source", "priority", "pos", "concat('algo_', a) as algorithm")
+
+
+add(
+    "fallback_order",
+    lambda i: tidy(report.fallback_order(_listed(i), _trajectories(i)), *TRACK, "source", "pos", "decision"),
+    f"""WITH p AS ({_PAIRS}), f AS (SELECT u, a FROM p WHERE {_THERE}),
+       l AS (SELECT u, a, 'full_comparison' AS source, 1 AS rank, 10 - a AS pos FROM p WHERE u % 3 = 0 AND a >= 4
+             UNION ALL SELECT u, a, 'manifest', 2, a FROM p WHERE u % 2 = 0),
+       c AS (SELECT *, EXISTS (SELECT 1 FROM f WHERE f.u = l.u AND f.a = l.a) AS there FROM l QUALIFY rank = min(rank) OVER (PARTITION BY u)),
+       d AS (SELECT u, a, 'files' AS source, row_number() OVER (PARTITION BY u ORDER BY a) - 1 AS pos, 'use' AS decision
+             FROM f WHERE u NOT IN (SELECT u FROM c WHERE there))
+       SELECT 'run_' || u AS run_id, 'algo_' || a AS algorithm, source, pos, decision FROM
+       (SELECT u, a, source, row_number() OVER (PARTITION BY u, there ORDER BY pos, a) - 1 AS pos, CASE WHEN there THEN 'use' ELSE 'omitted' END AS decision FROM c
+        UNION ALL SELECT * FROM d)""",
+)
+
+
+def _output_folders(i: Inputs) -> DataFrame:
+    """Recorded output folders of all pairs, and which of them are on disk."""
+    runs = _pairs(i).selectExpr(
+        "concat('run_', u) as run_id", "concat('algo_', a) as algorithm",
+        "if(a % 3 = 0, concat('retry=', u, '-', a), null) as result_output_dir", "case when a % 2 = 0 then concat('out=', u, '-', a) when a = 5 then '' end as output_dir",
+    )
+    path = _path(i, "outputs")
+    _pairs(i).where(_THERE).selectExpr("if(a % 3 = 0, 'retry', 'out') as kind", "concat(u, '-', a) as name", "'x' as value").write.partitionBy("kind", "name").text(path)
+    found = files.list_files(i.spark, path).selectExpr("concat(regexp_extract(path, 'kind=([^/]+)/', 1), '=', regexp_extract(path, 'name=([^/]+)/', 1)) as dir")
+    return report.existing_output_dirs(runs, found)
+
+
+add(
+    "existing_output_dirs",
+    lambda i: tidy(_output_folders(i), *TRACK, "effective_dir"),
+    f"""SELECT 'run_' || u AS run_id, 'algo_' || a AS algorithm,
+               CASE WHEN ({_THERE}) AND a % 3 = 0 THEN 'retry=' || u || '-' || a WHEN ({_THERE}) AND a % 2 = 0 THEN 'out=' || u || '-' || a
+               ELSE 'run_' || u || '/raw/algo_' || a END AS effective_dir FROM ({_PAIRS})""",
+)
+
+
+# --- sinks read back ----------------------------------------------------------
+
+
+def _standard_csv(i: Inputs) -> DataFrame:
+    path = _path(i, "standard")
+    files.write_tracks_csv(i.tracks(), path)
+    return files.read_tracks(i.spark, path, RUN, name=files.FOLDER)
+
+
+add(
+    "standard_csv",
+    lambda i: tidy(_standard_csv(i), *TRACK, "timestamp_s", "x_m", "y_m", "z_m", "yaw_rad"),
+    f"SELECT run_id, algorithm, {rs('timestamp_s', 'x_m', 'y_m', 'z_m', 'yaw_rad')} FROM tracks",
+)
+
+
+def _track_metadata(i: Inputs) -> DataFrame:
+    path = _path(i, "metadata")
+    files.write_track_metadata(i.tracks(), path)
+    return i.spark.read.schema("run_id string, algorithm string, samples bigint, start_s double, end_s double").json(path)
+
+
+add(
+    "track_metadata",
+    lambda i: tidy(_track_metadata(i)),
+    f"SELECT run_id, algorithm, count(*) AS samples, {r('min(timestamp_s)', 'start_s')}, {r('max(timestamp_s)', 'end_s')} FROM tracks GROUP BY run_id, algorithm",
+)

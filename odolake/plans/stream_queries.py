@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import points
 from ..operators.tracks import TRACK
+from ..session import shared_dir
 from ..streaming import live
 from .inputs import Inputs
+from .map_queries import CONVERT_SQL
 from .oracle import r, rs
 from .registry import add
 from .shape import tidy
@@ -134,11 +140,14 @@ add(
 
 
 def _sessions(i: Inputs):
+    # The step table is itself written and read as a stream; sessions close in event time.
+    folder = f"{shared_dir(i.spark)}/live-steps-{uuid.uuid4().hex}"
     steps = _live_steps(i)
-    # The step table is itself read as a stream; sessions close in event time.
-    folder = steps.inputFiles()[0].rsplit("/", 1)[0]
+    steps.write.parquet(folder)
+    # Files written at once have no order in event time, so they are one batch.
     stream = i.spark.readStream.schema(steps.schema).parquet(folder)
-    return live.drain(live.jump_sessions(stream, i.limits(), "1 second", "10 seconds"), "sessions", "complete")
+    sessions, ending = live.jump_sessions(stream, i.limits(), "1 second", "10 seconds")
+    return live.drain(sessions, "sessions", ending=ending)
 
 
 add(
@@ -175,3 +184,54 @@ add(
     ),
     f"""SELECT run_id, message_id, ordinal, {', '.join(r(f'{a}::DOUBLE', a) for a in 'xyz')}, line, offset_ns FROM points WHERE (tag & 48) IN (0, 16)""",
 )
+
+
+def _scans(i: Inputs):
+    """Whole scans, a row each, as a stream."""
+    folder = f"{shared_dir(i.spark)}/live-scans-{uuid.uuid4().hex}"
+    fields = ["x", "y", "z", "reflectivity", "tag", "line", "offset_ns", "ordinal"]
+    scans = i.points().groupBy(*points.SCAN).agg(F.collect_list(F.struct(*fields)).alias("points"))
+    scans.write.parquet(folder)
+    return i.spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", live.FILES_PER_BATCH).parquet(folder)
+
+
+add(
+    "stream_point_conversion",
+    lambda i: tidy(live.drain(live.convert_scans(_scans(i)), "records"), "message_id", "pos", "ordinal", "ring", "intensity", "time"),
+    f"SELECT message_id, pos, ordinal, line AS ring, reflectivity::DOUBLE AS intensity, {r('time::DOUBLE', 'time')} FROM {CONVERT_SQL}",
+)
+
+
+# Poses in PARTS deliveries by arrival; every 37th comes one delivery later.
+PARTS, DELAY_S = 4, 2.0
+
+
+def _late(i: Inputs):
+    poses = i.dirty().selectExpr("*", "timestamp_micros(cast(floor(timestamp_s * 1000000.0D) as bigint)) as ts")
+    top = poses.agg(F.max("arrival_seq")).first()[0] or 0
+    part = f"least(arrival_seq * {PARTS} div {top + 1}, {PARTS - 1}) + if(arrival_seq % 37 = 5, 1, 0)"
+    base = f"{shared_dir(i.spark)}/live-late-{uuid.uuid4().hex}"
+    live_poses = live.LatePoses(poses.schema, DELAY_S, base)
+    folder = f"{base}/deliveries"
+    for k in range(PARTS + 1):
+        poses.where(f"{part} = {k}").write.mode("append").parquet(folder)
+        live_poses.run(i.spark.readStream.schema(poses.schema).parquet(folder))
+    return live_poses.result(i.spark)
+
+
+_LATE_SQL = f"""(SELECT *, us <= max(top) OVER (PARTITION BY 1 ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {int(DELAY_S * 1e6)} AS late
+        FROM (SELECT *, max(us) OVER (PARTITION BY part) AS top
+              FROM (SELECT *, CAST(floor(timestamp_s * 1e6) AS BIGINT) AS us,
+                           least(arrival_seq * {PARTS} // ((SELECT max(arrival_seq) FROM dirty) + 1), {PARTS - 1}) + CASE WHEN arrival_seq % 37 = 5 THEN 1 ELSE 0 END AS part
+                    FROM dirty WHERE timestamp_s <> 0)))"""
+add(
+    "stream_late_poses",
+    lambda i: tidy(_late(i)[1], *TRACK, "timestamp_s", "x_m", "arrival_seq"),
+    f"SELECT run_id, algorithm, {r('timestamp_s', 'timestamp_s')}, {r('x_m', 'x_m')}, arrival_seq FROM {_LATE_SQL} WHERE late",
+)
+add(
+    "stream_timely_poses",
+    lambda i: tidy(_late(i)[0], *TRACK, "timestamp_s", "x_m", "y_m", "copies"),
+    f"""SELECT run_id, algorithm, {r('timestamp_s', 'timestamp_s')}, {r('arg_min(x_m, arrival_seq)', 'x_m')}, {r('arg_min(y_m, arrival_seq)', 'y_m')}, count(*) AS copies
+        FROM (SELECT * FROM {_LATE_SQL} WHERE late IS NOT TRUE) GROUP BY run_id, algorithm, timestamp_s""",
+)

@@ -167,6 +167,22 @@ add(
     lambda i: tidy(i.path(), *TRACK, "samples", *PATH, "metric_class"),
     f"""SELECT run_id, algorithm, samples, {rs(*PATH)}, 'diagnostic/conditional/non-ground-truth' AS metric_class FROM path""",
 )
+# The tracks of one run dealt over three.
+_DEALT = "concat('run_', cast(substring(algorithm, 6) as int) % 3) as run_id"
+STEP_SQL = "sqrt(power(x_m - p_x, 2) + power(y_m - p_y, 2) + power(z_m - p_z, 2))"
+
+
+def _with_run(rows):
+    return rows.selectExpr(_DEALT, *(c for c in rows.columns if c != "run_id"))
+
+
+add(
+    "path_metrics_totals",
+    lambda i: tidy(tracks.path_metrics(_with_run(i.segments()), totals=True), *TRACK, "samples", "duration_s", "path_length_m", "z_range_m", "z_min_m", "z_max_m"),
+    f"""SELECT run_id, algorithm, count(*) AS samples, {r('max(timestamp_s) - min(timestamp_s)', 'duration_s')}, {r(f'coalesce(sum({STEP_SQL}), 0e0)', 'path_length_m')},
+               {r('max(z_m) - min(z_m)', 'z_range_m')}, {r('min(z_m)', 'z_min_m')}, {r('max(z_m)', 'z_max_m')}
+        FROM (SELECT * EXCLUDE run_id, 'run_' || substr(algorithm, 6)::INT % 3 AS run_id FROM seg) GROUP BY ROLLUP (run_id, algorithm)""",
+)
 add(
     "z_drift_metrics",
     lambda i: tidy(i.path(), *TRACK, *DRIFT, "z_end_delta_abs_m", "z_end_delta_cm_per_100m"),
@@ -438,6 +454,16 @@ add(
                {r('avg(cpu_percent) / 100e0 * 2.5e0 * 32e0 / 1000e0', 'mean_tops_at_nominal')}
         FROM samples GROUP BY run_id, algorithm""",
 )
+add(
+    "resource_totals",
+    lambda i: tidy(
+        resources.summary_with_medians(_with_run(i.samples())),
+        *TRACK, "samples", "mean_cpu_percent", "peak_cpu_percent", "peak_rss_mib", "median_cpu_percent", "p95_cpu_percent",
+    ),
+    f"""SELECT run_id, algorithm, count(*) AS samples, {r('avg(cpu_percent)', 'mean_cpu_percent')}, {r('max(cpu_percent)', 'peak_cpu_percent')},
+               {r('max(rss_bytes) / 1048576e0', 'peak_rss_mib')}, {r('median(cpu_percent)', 'median_cpu_percent')}, {r('quantile_cont(cpu_percent, 0.95)', 'p95_cpu_percent')}
+        FROM (SELECT * EXCLUDE run_id, 'run_' || substr(algorithm, 6)::INT % 3 AS run_id FROM samples) GROUP BY ROLLUP (run_id, algorithm)""",
+)
 add(
     "latest_n",
     lambda i: tidy(resources.latest_n(i.ship_samples(), 120, ["day", "seq", "cpu_percent"]), *TRACK, "seq", "cpu_percent", "back"),

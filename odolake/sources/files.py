@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import finite
 from ..functions.text import iso_seconds
+from ..operators.keep import keep
 from ..operators.tracks import ANGLES, POSE, TRACK
 
 TRACK_SCHEMA = ", ".join(f"{c} double" for c in [*POSE, *ANGLES]) + ", source_topic string"
@@ -144,6 +148,22 @@ def read_run_status(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return algorithms, events
 
 
+def read_documents(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """(path and the fields of every sound JSON document, path and text of the others).
+
+    Bytes that are no UTF-8 become replacement characters first. A document is
+    rejected as a whole if it is cut off, is no object or has a field of another kind.
+    """
+    whole = T.StructType([*_struct(ddl).fields, T.StructField("_broken", T.StringType())])
+    rows = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("text")
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    rows = rows.withColumn("d", F.from_json("text", whole, options))
+    sound = "d is not null and d._broken is null and startswith(ltrim(text), '{')"
+    return rows.where(sound).select("path", "d.*").drop("_broken"), rows.where(f"not ({sound})").select("path", "text")
+
+
 def topic_inventory(metadata: DataFrame) -> DataFrame:
     """Topics of parsed log metadata (``topics array<struct<name,type,count>>``)."""
     return metadata.selectExpr("run_id", "posexplode(topics) as (pos, t)").selectExpr(
@@ -152,7 +172,7 @@ def topic_inventory(metadata: DataFrame) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str, run_id: str, name: str = PARENT) -> DataFrame:
-    """Numbered lines of text logs, read by block.
+    """Numbered lines of text logs, read by block; bytes that are no UTF-8 become replacement characters.
 
     A line's number is its place in its block plus the lines of the blocks ahead,
     which come from one small row per block; no task holds a whole file.
@@ -163,7 +183,7 @@ def read_log_lines(spark: SparkSession, path: str, run_id: str, name: str = PARE
         _name(name).alias("algorithm"),
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"),
         place.alias("place"),
-        F.col("value").alias("text"),
+        F.make_valid_utf8("value").alias("text"),
     ).select("*", "place.path", "place.block")
     within = Window.partitionBy("path", "block").orderBy("place")
     ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,6 +233,15 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_track_metadata(std: DataFrame, path: str) -> None:
+    """A JSON document per track: its samples, time range and source."""
+    rows = std.groupBy(*TRACK).agg(
+        F.expr("count(*) as samples"), F.expr("min(timestamp_s) as start_s"), F.expr("max(timestamp_s) as end_s"),
+        F.expr("min(source_topic) as source_topic"),
+    )
+    write_document(rows, path)
+
+
 # --- hashing ----------------------------------------------------------------
 
 
@@ -242,3 +271,50 @@ def tree_digest(hashes: DataFrame) -> DataFrame:
         F.expr("sha2(array_join(transform(array_sort(collect_list(struct(g, d))), e -> e.d), '\\n'), 256) as digest"),
         F.expr("sum(n) as files"), F.expr("sum(b) as size_bytes"),
     )
+
+
+BLOCK_BYTES, FANOUT = 4 << 20, 1024
+"""Bytes of a leaf of a file's digest, and digests that one of the next level covers."""
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and size_bytes of every file below a folder; no content is read. Empty files are passed over, as by all of Spark's readers."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.col("length").alias("size_bytes"))
+
+
+def _read_blocks(block: int):
+    def work(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path, k in zip(batch.column("path").to_pylist(), batch.column("k").to_pylist()):
+                if path.startswith("file:"):
+                    system, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    system, at = fs.FileSystem.from_uri(path)
+                with system.open_input_file(at) as f:
+                    out.append(hashlib.sha256(f.read_at(block, k * block)).hexdigest())
+            yield batch.append_column("digest", pa.array(out, pa.string()))
+
+    return work
+
+
+def block_digests(listing: DataFrame, block: int = BLOCK_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """path, size_bytes and digest of every file, by a tree over its blocks.
+
+    A leaf is the SHA-256 of a block; a digest of the next level is that of the
+    hexadecimal digests it covers, one after the other, until one is left; the
+    file's digest is that of its size, a colon and that one. No task holds a file.
+    """
+    leaves = listing.selectExpr("path", "size_bytes", f"greatest(size_bytes - 1, 0L) div {block}L + 1 as parts")
+    leaves = leaves.select("path", "size_bytes", "parts", F.explode(F.expr("sequence(0L, parts - 1)")).alias("k"))
+    tasks = max(1, min(10_000, leaves.count() // 64))
+    level = keep(leaves.repartition(tasks, "path", "k").mapInArrow(_read_blocks(block), "path string, size_bytes bigint, parts bigint, k bigint, digest string"), "leaves")
+    join = "sha2(array_join(transform(array_sort(collect_list(struct(k, digest))), x -> x.digest), ''), 256) as digest"
+    while (level.agg(F.max("parts")).first()[0] or 0) > 1:
+        above = level.where("parts > 1").withColumn("up", F.expr(f"k div {fanout}")).groupBy("path", "size_bytes", "parts", "up").agg(F.expr(join))
+        above = above.selectExpr("path", "size_bytes", f"(parts - 1) div {fanout} + 1 as parts", "up as k", "digest")
+        level = keep(above.unionByName(level.where("parts = 1")), "digests")
+    return level.select("path", "size_bytes", F.expr("sha2(concat(size_bytes, ':', digest), 256) as digest"))

@@ -9,12 +9,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.pose import QUAT, quat_norm, roll_pitch_yaw
+from ..operators.points import SCAN, TAG_MASK, TAG_OK
 from ..operators.tracks import ANGLES, POSE, TRACK
 from ..session import shared_dir
 
@@ -23,20 +26,59 @@ from ..session import shared_dir
 FILES_PER_BATCH = 64
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+END = "9999-01-01 00:00:00"
+"""The event time that ends an input."""
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+class Ending:
+    """An empty second source; the one row that ``close`` puts there passes the watermark over all that is open."""
+
+    def __init__(self, stream: DataFrame, event_time: str):
+        self.spark, self.schema, self.event_time = stream.sparkSession, stream.schema, event_time
+        self.folder = f"{shared_dir(self.spark)}/stream-end-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)
+
+    def follow(self, stream: DataFrame, delay: str) -> DataFrame:
+        """The stream under a watermark, ready to be closed. The last row itself never gets past it."""
+        last = self.spark.readStream.schema(self.schema).parquet(self.folder)
+        return stream.unionByName(last).withWatermark(self.event_time, delay).where(F.col(self.event_time) < F.lit(END).cast("timestamp"))
+
+    def close(self) -> None:
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name != self.event_time]
+        row = self.spark.range(1).select(*nothing, F.lit(END).cast("timestamp").alias(self.event_time))
+        row.select(*self.schema.names).write.mode("append").parquet(self.folder)
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, ending: Ending | None = None) -> DataFrame:
     """Process everything available into a table of the shared folder.
 
     Append results go through the file sink; windows still open at the end of
-    the input are not among them. Complete and update results are written per
-    batch and hold open windows too: for ``complete`` the last batch is the
-    result, for ``update`` the last row of every key.
+    the input are not among them, unless ``ending`` closes them: the query is
+    then resumed from its checkpoint once more and must end with an empty state.
+    Complete and update results are written per batch and hold open windows too:
+    for ``complete`` the last batch is the result, for ``update`` the last row of
+    every key.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start()
-        query.awaitTermination()
+        sink = writer.outputMode("append").format("parquet").option("path", f"{base}/rows")
+        sink.start().awaitTermination()
+        if ending:
+            ending.close()
+            query = sink.start()
+            query.awaitTermination()
+            left = sum(op["numRowsTotal"] for op in (query.lastProgress or {"stateOperators": []})["stateOperators"])
+            if left:
+                raise RuntimeError(f"{left} rows of state are left behind the end of the input")
+        if not has_files(spark, f"{base}/rows"):
+            return spark.createDataFrame([], stream.schema)
         return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -44,6 +86,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] |
 
     query = writer.outputMode(mode).foreachBatch(write).start()
     query.awaitTermination()
+    if not has_files(spark, f"{base}/rows"):
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{base}/rows")
     if mode == "complete":
         last = rows.agg(F.max("batch")).first()[0]
@@ -103,6 +147,77 @@ def standardize(poses: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return unit.select("*", *(a.alias(n) for a, n in zip(roll_pitch_yaw(quat), ANGLES)))
 
 
+def _with(schema: T.StructType, **more: str) -> T.StructType:
+    added = T.StructType()
+    for name, kind in more.items():
+        added.add(name, kind)
+    return T.StructType([*schema.fields, *added.fields])
+
+
+class LatePoses:
+    """First arrivals of every stamp, and the poses that came too late, as tables.
+
+    The watermark is the greatest event time of the epochs before, less ``delay_s``.
+    A pose at or behind it goes to the late table; any other one meets the open
+    stamps, which are the state: one row for each stamp ahead of the watermark.
+    Stamps that the watermark has passed are closed and written. Every epoch
+    writes tables of its own number, so one that is repeated after a failure
+    leaves what it would have left. Rows with a zero stamp are dropped, as by
+    ``standardize``; every other row is counted in ``copies`` or is late.
+    """
+
+    def __init__(self, schema, delay_s: float, base: str):
+        self.schema, self.delay_us, self.base = schema, int(delay_s * 1e6), base
+
+    def _table(self, spark: SparkSession, kind: str, epoch: int) -> DataFrame | None:
+        path = f"{self.base}/{kind}/epoch={epoch}"
+        return spark.read.parquet(path) if has_files(spark, path) else None
+
+    @staticmethod
+    def _first(poses: DataFrame) -> DataFrame:
+        row = F.struct(*POSE[1:], "arrival_seq")
+        first = poses.groupBy(*STANDARD_KEY, "ts").agg(F.min_by(row, "arrival_seq").alias("r"), F.sum("copies").alias("copies"))
+        return first.select(*STANDARD_KEY, "ts", "r.*", "copies")
+
+    def step(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        marks = self._table(spark, "mark", epoch - 1)
+        top = marks.first()[0] if marks is not None else None
+        us = F.unix_micros("ts")
+        late = us <= top - self.delay_us if top is not None else F.lit(False)
+        path = f"{self.base}/split/epoch={epoch}"
+        batch.where("timestamp_s <> 0").withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(path)
+        split = spark.read.schema(_with(batch.schema, late="boolean")).parquet(path)
+        fresh = split.where("not late").drop("late")
+        seen = fresh.agg(F.max(us)).first()[0]
+        top = max((t for t in (top, seen) if t is not None), default=None)
+        poses = fresh.select(*STANDARD_KEY, "ts", *POSE[1:], "arrival_seq", F.lit(1).cast("bigint").alias("copies"))
+        state = self._table(spark, "open", epoch - 1)
+        stamps = self._first(poses if state is None else poses.unionByName(state))
+        passed = us <= top - self.delay_us if top is not None else F.lit(False)
+        stamps.where(passed).write.mode("overwrite").parquet(f"{self.base}/closed/epoch={epoch}")
+        stamps.where(~passed).write.mode("overwrite").parquet(f"{self.base}/open/epoch={epoch}")
+        spark.range(1).select(F.lit(top).cast("bigint").alias("top_us")).write.mode("overwrite").parquet(f"{self.base}/mark/epoch={epoch}")
+        self.epoch = epoch
+
+    def run(self, stream: DataFrame) -> None:
+        """Process what is available; further calls go on from there."""
+        writer = stream.writeStream.option("checkpointLocation", f"{self.base}/checkpoint").trigger(availableNow=True)
+        writer.foreachBatch(self.step).start().awaitTermination()
+
+    def result(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """(one row per stamp, late poses); stamps still open are given as they stand."""
+        epochs = [] if not has_files(spark, f"{self.base}/mark") else [r[0] for r in spark.read.parquet(f"{self.base}/mark").select("epoch").distinct().collect()]
+        if not epochs:
+            late = spark.createDataFrame([], self.schema)
+            return self._first(late.withColumn("copies", F.lit(1).cast("bigint"))).drop("arrival_seq"), late
+        last = max(epochs)
+        closed = spark.read.parquet(f"{self.base}/closed").where(F.col("epoch") <= last).drop("epoch")
+        stamps = closed.unionByName(self._table(spark, "open", last)).drop("arrival_seq")
+        rows = spark.read.schema(_with(self.schema, epoch="integer", late="boolean")).parquet(f"{self.base}/split")
+        return stamps, rows.where("late").drop("late", "epoch")
+
+
 def conversion_counters(points: DataFrame) -> DataFrame:
     """Running totals of a point stream already flagged for validity."""
     return points.groupBy("run_id").agg(
@@ -113,6 +228,24 @@ def conversion_counters(points: DataFrame) -> DataFrame:
     )
 
 
+def convert_scans(scans: DataFrame) -> DataFrame:
+    """Output records of scans that arrive whole: one row per valid point, in time order.
+
+    A scan is a row with ``points``, an array of structs. It is checked, put in the
+    order of (offset, ordinal) and mapped inside its row, so nothing is kept between
+    batches and nothing is shuffled. A null or empty scan has no record.
+    """
+    finite_ = " and ".join(f"not isnan(p.{c}) and abs(p.{c}) < double('infinity')" for c in "xyz")
+    tags = ", ".join(map(str, TAG_OK))
+    good = f"filter(points, p -> (p.tag & {TAG_MASK}) in ({tags}) and {finite_})"
+    # A field order that sorts by offset, then ordinal.
+    ordered = f"array_sort(transform({good}, p -> struct(p.offset_ns, p.ordinal, p.x, p.y, p.z, p.reflectivity, p.line)))"
+    return scans.selectExpr(*SCAN, f"posexplode({ordered}) as (pos, p)").selectExpr(
+        *SCAN, "cast(pos as bigint) as pos", "p.x", "p.y", "p.z", "cast(p.reflectivity as float) as intensity", "cast(p.line as int) as ring",
+        "cast(cast(p.offset_ns as float) * cast(1e-9 as float) as float) as time", "p.offset_ns", "p.ordinal",
+    )
+
+
 def heartbeat(events: DataFrame) -> DataFrame:
     """Latest event per run and the seconds since its phase began."""
     return events.groupBy("run_id").agg(
@@ -168,41 +301,56 @@ def online_steps(poses: DataFrame) -> DataFrame:
     The state of a track is its last pose. Poses of a batch are put in time
     order before they are walked.
     """
-    pi = 3.141592653589793
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values("timestamp_s")
-        out = []
-        for ts, t, x, y, z, yaw in zip(
-            rows["ts"], rows["timestamp_s"], rows["x_m"], rows["y_m"], rows["z_m"], rows["yaw_rad"]
-        ):
-            if last is not None and t <= last[0]:
-                continue
-            if last is not None:
-                turn = (yaw - last[4] + pi) % (2 * pi) - pi
-                dist = ((x - last[1]) ** 2 + (y - last[2]) ** 2 + (z - last[3]) ** 2) ** 0.5
-                out.append((key[0], key[1], ts, t, t - last[0], dist, abs(turn) * 180 / pi))
-            last = (float(t), float(x), float(y), float(z), float(yaw))
+        columns = ["timestamp_s", "x_m", "y_m", "z_m", "yaw_rad"]
+        last = state.get if state.exists else None
+        # Only poses ahead of all before them count: the first of each stamp, none behind the state.
+        t = rows["timestamp_s"].to_numpy()
+        ahead = np.r_[last is None or t[0] > last[0], t[1:] > t[:-1]] if len(t) else np.zeros(0, bool)
         if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["run_id", "algorithm", "ts", "timestamp_s", "dt_s", "position_step_m", "yaw_step_deg"])
+            ahead &= t > last[0]
+        rows = rows[ahead]
+        if not len(rows):
+            return
+        v = rows[columns].to_numpy(float)
+        ts = rows["ts"]
+        if last is None:
+            before, v, ts = v[:-1], v[1:], ts.iloc[1:]
+        else:
+            before = np.vstack([np.array(last, float), v[:-1]])
+        state.update(tuple(float(x) for x in rows[columns].iloc[-1]))
+        turn = (v[:, 4] - before[:, 4] + np.pi) % (2 * np.pi) - np.pi
+        yield pd.DataFrame(
+            {
+                "run_id": key[0],
+                "algorithm": key[1],
+                "ts": ts.to_numpy(),
+                "timestamp_s": v[:, 0],
+                "dt_s": v[:, 0] - before[:, 0],
+                "position_step_m": np.sqrt(((v[:, 1:4] - before[:, 1:4]) ** 2).sum(1)),
+                "yaw_step_deg": np.degrees(np.abs(turn)),
+            }
+        )
 
     return poses.groupBy(*TRACK).applyInPandasWithState(
         step, STEP_OUT, STEP_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def jump_sessions(steps: DataFrame, limits: DataFrame, gap: str = "1 second", delay: str = "10 seconds") -> DataFrame:
-    """Windows of jumps per track from a step stream and a threshold table.
+def jump_sessions(steps: DataFrame, limits: DataFrame, gap: str = "1 second", delay: str = "10 seconds") -> tuple[DataFrame, Ending]:
+    """Windows of jumps per track from a step stream and a threshold table, and the ending that closes the last ones.
 
-    A session closes after ``gap`` without a jump.
+    A session closes after ``gap`` without a jump, once the watermark has passed
+    it; then it leaves the state, which holds one row per open session.
     """
     hits = steps.join(limits, TRACK).where(
         "position_step_m > position_threshold_m or yaw_step_deg > yaw_threshold_deg"
-    )
-    return (
-        hits.withWatermark("ts", delay)
+    ).select(*TRACK, "ts", "timestamp_s", "position_step_m", "yaw_step_deg")
+    ending = Ending(hits, "ts")
+    sessions = (
+        ending.follow(hits, delay)
         .groupBy(*TRACK, F.session_window("ts", gap).alias("w"))
         .agg(
             F.expr("count(*) as jump_steps"),
@@ -213,6 +361,7 @@ def jump_sessions(steps: DataFrame, limits: DataFrame, gap: str = "1 second", de
         )
         .drop("w")
     )
+    return sessions, ending
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:

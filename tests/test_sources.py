@@ -95,3 +95,38 @@ def test_stream_equals_batch_across_batches(spark, tmp_path):
 def test_run_mode_prefers_the_weaker(spark):
     df = spark.createDataFrame([("r", resources.STRICT), ("r", resources.APPROXIMATE), ("q", resources.STRICT)], "run_id string, time_alignment_mode string")
     assert {r[0]: r[1] for r in resources.run_mode(df).collect()} == {"r": resources.APPROXIMATE, "q": resources.STRICT}
+
+
+def test_digests_by_blocks_are_those_by_hand(spark, tmp_path):
+    import hashlib
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    texts = {"empty": b"", "one": b"x" * 10, "two": bytes(range(11)), "many": bytes(k % 251 for k in range(1007))}
+    (tmp_path / "deep folder").mkdir()
+    for name, data in texts.items():
+        (tmp_path / ("deep folder" if name == "many" else ".") / name).write_bytes(data)
+
+    def by_hand(data, block=10, fanout=3):
+        level = [sha(data[k : k + block]) for k in range(0, max(1, len(data)), block)]
+        while len(level) > 1:
+            level = [sha("".join(level[k : k + fanout]).encode()) for k in range(0, len(level), fanout)]
+        return sha(f"{len(data)}:{level[0]}".encode())
+
+    out = files.block_digests(files.list_files(spark, str(tmp_path)), 10, 3).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["size_bytes"], r["digest"]) for r in out} == {n: (len(d), by_hand(d)) for n, d in texts.items() if d}
+
+
+def test_broken_logs_and_documents(spark, tmp_path):
+    logs, docs = tmp_path / "logs", tmp_path / "docs"
+    (logs / "algorithm=a").mkdir(parents=True)
+    docs.mkdir()
+    (logs / "algorithm=a" / "x.log").write_bytes(b"fine\nbad \xff\xfe end\n\xc3\xa4 ok")
+    rows = files.read_log_lines(spark, str(logs), "r", files.FOLDER).orderBy("line").collect()
+    assert [(r["line"], r["text"]) for r in rows] == [(1, "fine"), (2, "bad \ufffd\ufffd end"), (3, "\u00e4 ok")]
+    given = {"sound": b'{"run_id":"a","n":1}', "cut": b'{"run_id":"a","n":', "list": b"[1]", "empty": b"", "other": b'{"run_id":"b","n":"x"}', "bytes": b'{"run_id":"\xff"}', "null": b"null"}
+    for name, data in given.items():
+        (docs / f"{name}.json").write_bytes(data)
+    sound, rejected = files.read_documents(spark, str(docs), "run_id string, n bigint")
+    assert sorted((r["run_id"], r["n"]) for r in sound.collect()) == [("a", 1), ("\ufffd", None)]
+    names = sorted(r["path"].rsplit("/", 1)[1].removesuffix(".json") for r in rejected.collect())
+    assert [n for n in names if n != "empty"] == ["cut", "list", "null", "other"]
