@@ -376,11 +376,12 @@ def _rooted(lists: DataFrame, rooted: DataFrame) -> DataFrame:
     """
     entries = _among(lists.select("list", "k", "n", "pos", "level"), rooted.select("k"), "k")
     known = entries.where("hit").join(rooted, "k", "left").selectExpr("list", "k", "n", "pos", "level", "coalesce(root, k) as root")
-    both = known.unionByName(entries.where("not hit").selectExpr("list", "k", "n", "pos", "level", "k as root"))
+    # Written, so that no task holds two Python workers.
+    both = keep(known.unionByName(entries.where("not hit").selectExpr("list", "k", "n", "pos", "level", "k as root")), "labelled")
     found = both.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
     open_ = keep(found.selectExpr("list", f"cast(ceil(size / {PART}) as int) as parts"), "open")
     rooted = keep(_among(both, open_, "xxhash64(list)").where("hit").drop("hit").join(open_, "list"), "lists")
-    discard(open_)
+    discard(open_, both)
     return rooted
 
 
