@@ -1,47 +1,52 @@
 """Language-model scores from a weighted backoff automaton over words.
 
-Model: smoothed unigrams ``p1(v) = (c + 0.5) / (N + 0.5 (V + 1))`` at the root;
-above it interpolated absolute discounting,
-``p(v | s) = (c(s v) - D) / c(s) + gamma(s) p(v | s')`` for the arcs a state keeps,
-``gamma(s) p(v | s')`` otherwise, where s' is s without its first word and gamma is
-what the kept arcs leave. States are the empty history, words and word pairs;
-``gamma(s)`` weighs the failure arc to s'. A text is read from left to right from
-the begin state; the state carried after a token is the longest history that
-exists, and the log-probabilities of the arcs taken add up.
-
-Size: words of a relative count of WORD_SHARE or more and arcs of ARC_SHARE or more
-make the automaton. Relative counts add up to one, so there are at most
-1 / WORD_SHARE words and 1 / ARC_SHARE arcs of each order, whatever the corpus; this
-is what is broadcast. All other words are counted over all documents too: each
-text's other words are dealt by word, meet their total count there and send
-their part of the sum back to the text, so the unigram table has no bound.
+Model: smoothed unigrams ``p1(v) = (c(v) + 0.5) / (N + 0.5 (V + 1))`` at the root.
+States are the empty history, the begin of a text, every word and every word pair
+of the training texts. A state s seen c(s) times fails with weight
+``gamma(s) = K / (K + sqrt(c(s)))`` to s', which is s without its first word, and has
+an arc for every word v seen behind it,
+``p(v | s) = (1 - gamma(s)) c(s v) / c(s) + gamma(s) p(v | s')``. Where there is no
+arc, the failure arc is taken: ``gamma(s) p(v | s')``. A text is read from left to
+right from the begin state; the state carried after a token is the longest history
+that exists, and the log-probabilities of the arcs taken add up.
+
+Size: every word, pair and triple of the training texts is a part of the automaton,
+at every size of the corpus; nothing is broadcast. The texts are packed into blocks.
+A block asks for the counts of its distinct words, pairs and triples, with its own
+counts of them; the requests are dealt by hash, met and added up there, and the sums
+go back to the block. So each block gets the states and arcs that its texts can
+reach, and a word of a third of all tokens is one request a block.
+
+Words are 64-bit hashes, of which a request carries the bucket and 50 bits more;
+pairs and triples carry 42 bits more. A bucket holds a bounded number of keys, so
+the chance that an arc gets a foreign count, about one in a million, does not grow.
 
 Cases: null and empty texts are the end token alone. Rows with a null id are
-scored, not learned from. Rows with equal id and text are one text for the sums
-and several for the counts. Without training rows every unigram has probability 1.
-Only the named columns are read.
+scored, not learned from. Repeated rows are scored and counted each. Without
+training rows every unigram has probability 1. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.keep import keep
-from .common import held_out, slices, word_hashes
+from .common import held_out, mix, slices, word_hashes
 
 END = np.uint64(0xE7D0E7D0E7D0E7D0)
-WORD_SHARE, ARC_SHARE = 5e-7, 1e-6
-LEAST_ARC = 2
-"""Times that an arc is seen at least."""
-DISCOUNT = 0.75
+BEGIN = np.uint64(0xBE61BE61BE61BE61)
+FAILURE = (8.0, 2.0)
+"""K of word states and of pair states."""
+BLOCK_CHARS = 1 << 23
 CHARS_PER_BUCKET = 1 << 24
-FLUSH = 1 << 20
-"""Keys that a task counts before it hands them on."""
+BITS = (50, 42, 42)
+"""Bits behind the bucket that tell words, pairs and triples apart."""
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,311 +55,182 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), at + np.arange(len(at))
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    held = held_out("doc_id", 5, 1)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.selectExpr("doc_id", "text", f"{held} as held_out", f"doc_id is not null and not {held} as train", "xxhash64(doc_id, text) as rid")
+def grams(h: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | slice]]:
+    """(keys, the tokens they end at) of words, pairs and triples. A text's first pair starts with BEGIN; it has no first triple."""
+    before = np.r_[BEGIN, h[:-1]]
+    before[at[:-1]] = BEGIN
+    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+    later = np.ones(len(h), bool)
+    later[at[:-1]] = False
+    ends = np.flatnonzero(later)
+    triple = mix(pair[ends - 1] * np.uint64(0xD6E8FEB86659FD93) + h[ends])
+    return [(h, slice(None)), (pair, slice(None)), (triple, ends)]
 
 
-# --- counting -----------------------------------------------------------------
+# --- blocks of texts ----------------------------------------------------------
 
-_DEALT = "bucket int, keys binary, counts binary"
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """block, chars, packed: the rows (doc_id, held_out, text) in compressed blocks; a longer text is a block of its own."""
 
-def _deal(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Distinct keys with their counts, packed by bucket."""
-    bucket = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, edge = keys[order], counts[order].astype(np.int64), np.searchsorted(bucket[order], np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(edge))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(used, pa.int32()),
-            pa.array([keys[edge[b] : edge[b + 1]].tobytes() for b in used], pa.binary()),
-            pa.array([counts[edge[b] : edge[b + 1]].tobytes() for b in used], pa.binary()),
-        ],
-        names=["bucket", "keys", "counts"],
-    )
+    def pack(batches):
+        task, made, chars, held = TaskContext.get().partitionId(), 0, 0, []
 
-
-def _add_up(table):
-    keys = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table["keys"]])
-    counts = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table["counts"]])
-    keys, inverse = np.unique(keys, return_inverse=True)
-    counts = np.bincount(inverse, counts).astype(np.int64)
-    return pa.table({"bucket": pa.array([len(keys)], pa.int32()), "keys": pa.array([keys.tobytes()]), "counts": pa.array([counts.tobytes()])})
-
-
-def _count(rows: DataFrame, extract, buckets: int) -> DataFrame:
-    """Counts over all training rows of the int64 keys that ``extract(texts)`` returns; packed rows."""
-
-    def work(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def summed():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return _deal(keys, np.bincount(inverse, np.concatenate([c for _, c in parts])), buckets)
+        def packed():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([chars], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "chars", "packed"])
 
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                parts.append(np.unique(extract(texts), return_counts=True))
-                if sum(len(k) for k, _ in parts) > FLUSH:
-                    yield summed()
-                    parts.clear()
-        if any(len(k) for k, _ in parts):
-            yield summed()
-
-    dealt = rows.where("train").select("text").mapInArrow(work, _DEALT)
-    return keep(dealt.groupBy("bucket").applyInArrow(_add_up, _DEALT), "counts")
-
+            for first, texts in slices(batch, "text"):
+                held.append(batch.slice(first, len(texts)))
+                chars += sum(map(len, texts))
+                if chars >= BLOCK_CHARS:
+                    yield packed()
+                    made, chars, held = made + 1, 0, []
+        if held:
+            yield packed()
 
-def _at_least(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of at least that count, in order. Bounded, as ``least`` is a share of their sum."""
+    return keep(rows.mapInArrow(pack, "block long, chars long, packed binary"), "blocks")
 
-    def work(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0), batch.column(1)):
-                k, c = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k[c >= least]), pa.array(c[c >= least])], names=["k", "c"])
 
-    found = counts.select("keys", "counts").mapInArrow(work, "k long, c long").toArrow()
-    k, c = found["k"].to_numpy(), found["c"].to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
+def _unpacked(packed: pa.Scalar) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, token hashes, where each text starts, whether it is learned from) of a block."""
+    batches = pa.ipc.open_stream(packed.as_buffer()).read_all().to_batches()
+    read = [tokens(texts) for batch in batches for _, texts in slices(batch, "text")]
+    at = np.cumsum(np.concatenate([[0], *(np.diff(at) for _, at in read)]))
+    learned = np.concatenate([~b["held_out"].to_numpy(zero_copy_only=False) & b["doc_id"].is_valid().to_numpy(zero_copy_only=False) for b in batches])
+    return batches, np.concatenate([h for h, _ in read]), at, learned
 
 
-def _totals(counts: DataFrame) -> tuple[int, int]:
-    """(sum of the counts, number of keys)."""
-
-    def work(batches):
-        for batch in batches:
-            c = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()), pa.array([len(x) for x in c], pa.int64())], names=["n", "v"])
+# --- counts -------------------------------------------------------------------
 
-    r = counts.select("counts").mapInArrow(work, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return int(r[0] or 0), int(r[1] or 0)
 
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, all lowest bytes first, so that the empty high ones compress."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-# --- the automaton ------------------------------------------------------------
 
+def _numbers(raw: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-def _find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted value, -1 if absent."""
-    if not len(sorted_):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
-    return np.where(sorted_[at] == wanted, at, -1)
 
+def _requests(blocks: DataFrame, power: int) -> DataFrame:
+    """kind, bucket, block, keys, own: a block's distinct grams by bucket of 2**power (keys as ascending steps) and how often it learns from each."""
 
-class Automaton:
-    """Root arcs for ``words``, arcs of word states and of pair states, and the failure weights."""
-
-    def __init__(self, total: int, types: int, texts: int, words: np.ndarray, counts: np.ndarray):
-        self.total, self.types, self.texts = total, types, texts
-        self.words, self.counts = words, counts
-        self.size = len(words) + 1  # the last number stands for the begin of a text
-        self.p1 = (counts + 0.5) / self.scale
-        self.pairs = self.triples = np.zeros(0, np.int64)
-        self.p2 = self.p3 = np.zeros(0)
-        self.gamma2 = np.ones(self.size)
-        self.gamma3 = np.zeros(0)
-        self.logs: dict[str, np.ndarray] = {}
-
-    @property
-    def scale(self) -> float:
-        return self.total + 0.5 * (self.types + 1)
-
-    def _order(self, arcs: np.ndarray, counts: np.ndarray, state_counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities of the arcs, failure weight of every state); ``lower``: what the shorter history gives the arcs."""
-        state = arcs // self.size
-        part = (counts - DISCOUNT) / state_counts[state]
-        gamma = 1 - np.bincount(state, part, minlength=len(state_counts))
-        return part + gamma[state] * lower, gamma
-
-    def add_pairs(self, arcs: np.ndarray, counts: np.ndarray) -> None:
-        self.pairs, self.pair_counts = arcs, counts
-        self.p2, self.gamma2 = self._order(arcs, counts, np.append(self.counts, max(1, self.texts)), self.p1[arcs % self.size])
-
-    def add_triples(self, arcs: np.ndarray, counts: np.ndarray) -> None:
-        self.triples = arcs
-        shorter = self.pairs[arcs // self.size] % self.size * self.size + arcs % self.size
-        self.p3, self.gamma3 = self._order(arcs, counts, self.pair_counts, self.p2[_find(self.pairs, shorter)])
-
-    # Reading: word numbers, arcs of word states, arcs of pair states; -1 where there is none.
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        return _find(self.words, h.view(np.int64))
-
-    def pair_keys(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The key of (word before, word) at every token, -1 where either is no word of the automaton."""
-        before = np.r_[-1, word[:-1]]
-        before[at[:-1]] = self.size - 1
-        return np.where((before >= 0) & (word >= 0), before * self.size + word, -1)
-
-    def triple_keys(self, word: np.ndarray, pair: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The key of (pair arc before, word) where both that arc and the present one exist, else -1."""
-        before = np.r_[-1, pair[:-1]]
-        before[at[:-1]] = -1
-        return np.where((before >= 0) & (pair >= 0), before * self.size + word, -1)
-
-    def log(self, name: str) -> np.ndarray:
-        """log10 of a table of weights, made once where the automaton is read."""
-        if name not in self.logs:
-            self.logs[name] = np.log10(np.maximum(getattr(self, name), 1e-300))
-        return self.logs[name]
-
-    def read(self, texts: list[str]):
-        """For each text: tokens, known tokens, base score and score without the words that only Spark counts."""
-        h, at = tokens(texts)
-        word = self.numbers(h)
-        pair = _find(self.pairs, self.pair_keys(word, at))
-        triple = _find(self.triples, self.triple_keys(word, pair, at))
-        state1 = np.r_[-1, word[:-1]]
-        state1[at[:-1]] = self.size - 1
-        state2 = np.r_[-1, pair[:-1]]
-        state2[at[:-1]] = -1
-        known = word >= 0
-        root = np.zeros(len(h))
-        root[known] = np.log10(self.p1[word[known]])
-        step = root + np.where(state1 >= 0, self.log("gamma2")[state1], 0.0)
-        if len(self.pairs):
-            step = np.where(pair >= 0, self.log("p2")[pair], step)
-        if len(self.gamma3):
-            fail = np.where(state2 >= 0, self.log("gamma3")[state2], 0.0)
-            step = np.where(triple >= 0, self.log("p3")[triple] if len(self.p3) else 0.0, step + fail)
-        total = lambda x: np.add.reduceat(x, at[:-1])
-        return np.diff(at), total((known & (self.counts[word] > 0)).astype(np.int64)) if len(self.words) else np.zeros(len(texts), np.int64), total(root), total(step)
-
-
-def train(rows: DataFrame, buckets: int) -> Automaton:
-    counts = _count(rows, lambda texts: tokens(texts)[0].view(np.int64), buckets)
-    total, types = _totals(counts)
-    words, n = _at_least(counts, max(1.0, total * WORD_SHARE))
-    end = END.astype(np.uint64).view(np.int64)
-    learned = rows.where("train").count()
-    if end not in words:
-        at = np.searchsorted(words, end)
-        words, n = np.insert(words, at, end), np.insert(n, at, learned)
-    model = Automaton(total, types, learned, words, n)
-    if not total:
-        return model
-    context = rows.sparkSession.sparkContext
-    least = max(LEAST_ARC, total * ARC_SHARE)
-    shared = context.broadcast(model)
-
-    def pairs(texts):
-        h, at = tokens(texts)
-        k = shared.value.pair_keys(shared.value.numbers(h), at)
-        return k[k >= 0]
-
-    model.add_pairs(*_at_least(_count(rows, pairs, buckets), least))
-    with_pairs = context.broadcast(model)
-
-    def triples(texts):
-        m = with_pairs.value
-        h, at = tokens(texts)
-        word = m.numbers(h)
-        k = m.triple_keys(word, _find(m.pairs, m.pair_keys(word, at)), at)
-        return k[k >= 0]
-
-    model.add_triples(*_at_least(_count(rows, triples, buckets), least))
-    return model
+    def ask(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, h, at, learned = _unpacked(packed)
+                learned = np.repeat(learned, np.diff(at))
+                for kind, (keys, ends) in enumerate(grams(h, at)):
+                    keys, inverse = np.unique(keys, return_inverse=True)
+                    own = np.bincount(inverse, learned[ends], len(keys))
+                    bucket = (keys >> np.uint64(1)) >> np.uint64(63 - power)
+                    short = (keys << np.uint64(power)) >> np.uint64(64 - BITS[kind])
+                    edge = np.searchsorted(bucket, np.arange((1 << power) + 1, dtype=np.uint64))
+                    used = np.flatnonzero(np.diff(edge))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(used), kind), pa.int32()),
+                            pa.array(used, pa.int32()),
+                            pa.array(np.full(len(used), block), pa.int64()),
+                            pa.array([_bytes(np.diff(short[edge[b] : edge[b + 1]], prepend=np.uint64(0))) for b in used], pa.binary()),
+                            pa.array([_bytes(own[edge[b] : edge[b + 1]]) for b in used], pa.binary()),
+                        ],
+                        names=["kind", "bucket", "block", "keys", "own"],
+                    )
+
+    return blocks.select("block", "packed").mapInArrow(ask, "kind int, bucket int, block long, keys binary, own binary")
+
+
+def _answers(requests: DataFrame) -> DataFrame:
+    """kind, bucket, block, other: what other blocks add to the own counts; total, types: words of the bucket, in its first row."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_numbers(k), dtype=np.uint64) for k in table["keys"]]
+        own = np.concatenate([_numbers(c) for c in table["own"]]).astype(np.int64)
+        edge = np.cumsum([0, *map(len, keys)])
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(inverse, own).astype(np.int64)
+        other = sums[inverse] - own
+        word = table["kind"][0].as_py() == 0
+        first = lambda x: pa.array(np.r_[x if word else 0, np.zeros(len(keys) - 1, np.int64)], pa.int64())
+        answer = pa.array([_bytes(other[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())
+        return pa.table({"kind": table["kind"], "bucket": table["bucket"], "block": table["block"], "other": answer, "total": first(sums.sum()), "types": first((sums > 0).sum())})
+
+    met = requests.groupBy("kind", "bucket").applyInArrow(meet, "kind int, bucket int, block long, other binary, total long, types long")
+    return keep(met, "counts")
 
 
 # --- scoring ------------------------------------------------------------------
 
-_RECORD = np.dtype([("h", "<i8"), ("rid", "<i8"), ("times", "<u4"), ("learned", "<u4")])
-_PART = np.dtype([("rid", "<i8"), ("known", "<f8"), ("base", "<f8")])
-
 
-def _rare(rows: DataFrame, shared, buckets: int) -> DataFrame:
-    """rid, known, base: what the words outside the automaton add to each text."""
-    scale = shared.value.scale
-
-    def deal(batches):
-        for batch in batches:
-            rid, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            copies: dict[int, int] = {}
-            for r, t in zip(rid.tolist(), learn.tolist()):
-                copies[r] = copies.get(r, 0) + int(t)
-            done: set[int] = set()
-            parts = []
-            for first, texts in slices(batch, "text"):
-                own = [k for k in range(len(texts)) if int(rid[first + k]) not in done and not done.add(int(rid[first + k]))]
-                if not own:
-                    continue
-                h, at = tokens([texts[k] for k in own])
-                out = shared.value.numbers(h) < 0
-                key = np.empty(int(out.sum()), np.dtype([("d", "<i8"), ("h", "<i8")]))
-                key["d"], key["h"] = np.repeat(np.arange(len(own)), np.diff(at))[out], h.view(np.int64)[out]
-                order = np.lexsort((key["h"], key["d"]))
-                key = key[order]
-                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-                r = np.empty(len(new), _RECORD)
-                ids = np.array([int(rid[first + k]) for k in own], np.int64)
-                r["h"], r["rid"], r["times"] = key["h"][new], ids[key["d"][new]], np.diff(np.r_[new, len(key)])
-                r["learned"] = np.array([copies[int(i)] for i in ids], np.uint32)[key["d"][new]]
-                parts.append(r)
-            if parts and sum(map(len, parts)):
-                r = np.concatenate(parts)
-                yield from _packed(r, r["h"]).to_batches()
-
-    def meet(table):
-        r = np.concatenate([np.frombuffer(b.as_py(), _RECORD) for b in table["records"]])
-        r = r[np.lexsort((r["rid"], r["h"]))]
-        _, word = np.unique(r["h"], return_inverse=True)
-        c = np.bincount(word, r["times"].astype(np.int64) * r["learned"])[word]
-        first = np.ones(len(r), bool)  # equal rows of several batches count once for their text
-        first[1:] = (r["h"][1:] != r["h"][:-1]) | (r["rid"][1:] != r["rid"][:-1])
-        r, c = r[first], c[first]
-        rid, text = np.unique(r["rid"], return_inverse=True)
-        out = np.empty(len(rid), _PART)
-        out["rid"] = rid
-        out["known"] = np.bincount(text, r["times"] * (c > 0))
-        out["base"] = np.bincount(text, r["times"] * np.log10((c + 0.5) / scale))
-        return _packed(out, out["rid"])
-
-    def add(table):
-        r = np.concatenate([np.frombuffer(b.as_py(), _PART) for b in table["records"]])
-        rid, text = np.unique(r["rid"], return_inverse=True)
-        return pa.table({"rid": rid, "rare_known": np.bincount(text, r["known"]).astype(np.int64), "rare_base": np.bincount(text, r["base"])})
-
-    def _packed(r, key):
-        """The records by bucket of their key."""
-        bucket = np.ascontiguousarray(key).view(np.uint64) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        r, edge = r[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-        used = np.flatnonzero(np.diff(edge))
-        return pa.table({"bucket": pa.array(used, pa.int32()), "records": pa.array([r[edge[b] : edge[b + 1]].tobytes() for b in used], pa.binary())})
-
-    dealt = rows.select("rid", "train", "text").mapInArrow(deal, "bucket int, records binary")
-    met = dealt.groupBy("bucket").applyInArrow(meet, "bucket int, records binary")
-    return met.groupBy("bucket").applyInArrow(add, "rid long, rare_known long, rare_base double")
+class Automaton:
+    """The part of the automaton that a block's texts reach: at every token the counts of its word, of the
+    pair and the triple that end there, and of the two histories before it."""
+
+    def __init__(self, total: int, types: int, at: np.ndarray, counts: list[np.ndarray]):
+        self.total, self.types, self.at = total, types, at
+        self.word, self.pair, self.triple = counts
+        self.before1 = np.r_[0, self.word[:-1]]
+        self.before1[at[:-1]] = self.word[at[1] - 1]  # every text begins once and ends once
+        self.before2 = np.r_[0, self.pair[:-1]]
+        self.before2[at[:-1]] = 0
+
+    @staticmethod
+    def step(k: float, state: np.ndarray, arc: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """The weight of the arc, or of the failure arc and what follows it; a state never seen fails for nothing."""
+        gamma = k / (k + np.sqrt(state))
+        return (1 - gamma) * arc / np.maximum(state, 1) + gamma * shorter
+
+    def root(self) -> np.ndarray:
+        return (self.word + 0.5) / (self.total + 0.5 * (self.types + 1))
+
+    def weights(self) -> np.ndarray:
+        """The probability of every token, read from left to right."""
+        one = self.step(FAILURE[0], self.before1, self.pair, self.root())
+        return self.step(FAILURE[1], self.before2, self.triple, one)
+
+    def read(self) -> tuple[np.ndarray, ...]:
+        """For each text: tokens, known tokens, base score, score."""
+        total = lambda x: np.add.reduceat(x, self.at[:-1])
+        return np.diff(self.at), total((self.word > 0).astype(np.int64)), total(np.log10(self.root())), total(np.log10(self.weights()))
+
+
+def _automaton(h: np.ndarray, at: np.ndarray, learned: np.ndarray, answers: pa.Table, total: int, types: int) -> Automaton:
+    learned = np.repeat(learned, np.diff(at))
+    answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    kinds = answers["kind"].to_numpy()
+    counts = []
+    for kind, (keys, ends) in enumerate(grams(h, at)):
+        keys, inverse = np.unique(keys, return_inverse=True)
+        own = np.bincount(inverse, learned[ends], len(keys)).astype(np.int64)
+        a, b = np.searchsorted(kinds, [kind, kind + 1])
+        other = np.concatenate([np.zeros(0, np.int64), *(_numbers(x).astype(np.int64) for x in answers["other"].slice(a, b - a))])
+        count = np.zeros(len(h), np.int64)
+        count[ends] = (own + other)[inverse]
+        counts.append(count)
+    return Automaton(total, types, at, counts)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    rows = _rows(docs, doc_id, text)
-    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    buckets = max(1, math.ceil(chars / CHARS_PER_BUCKET))
-    model = train(rows, buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).selectExpr("doc_id", f"{held_out('doc_id', 5, 1)} as held_out", "text")
+    blocks = _blocks(rows)
+    chars = blocks.agg(F.sum("chars")).first()[0] or 0
+    answers = _answers(_requests(blocks, max(0, chars // CHARS_PER_BUCKET).bit_length()))
+    total, types = (int(x or 0) for x in answers.agg(F.sum("total"), F.sum("types")).first())
+
+    def read(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        parts, h, at, learned = _unpacked(packed["packed"][0])
+        n, known, base, full = _automaton(h, at, learned, answers, total, types).read()
+        own = pa.Table.from_batches(parts).select(["doc_id", "held_out"])
+        columns = {"n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": full}
+        return pa.table({"doc_id": own["doc_id"], "held_out": own["held_out"], **{name: pa.array(x) for name, x in columns.items()}})
 
-    def read(batches):
-        for batch in batches:
-            for first, texts in slices(batch, "text"):
-                n, known, base, full = shared.value.read(texts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(texts)) for k in range(3)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full)], names=["doc_id", "held_out", "rid", "n", "known", "base", "full"])
-
-    own = rows.select("doc_id", "held_out", "rid", "text").mapInArrow(read, f"doc_id {kind}, held_out boolean, rid long, n long, known long, base double, full double")
-    both = own.join(_rare(rows, shared, buckets), "rid", "left")
-    return both.selectExpr(
-        "doc_id",
-        "held_out",
-        "n as n_tokens",
-        "known + coalesce(rare_known, 0) as n_known",
-        f"{model.total}L as train_tokens",
-        "base + coalesce(rare_base, 0D) as base_score",
-        "full + coalesce(rare_base, 0D) as score",
-    )
+    kind = docs.schema[doc_id].dataType.simpleString()
+    both = blocks.select("block", "packed").groupBy("block").cogroup(answers.select("block", "kind", "bucket", "other").groupBy("block"))
+    return both.applyInArrow(read, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

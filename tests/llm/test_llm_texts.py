@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import regex
 
@@ -354,79 +355,83 @@ def test_chat_parts(spark):
 # --- language model -----------------------------------------------------------
 
 
-def plain_scores(given, word_share, arc_share):
+def plain_scores(given):
     """The model by its definition, over dictionaries."""
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     tok = [(k, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [0]) for k, t in given]
     train = [t for k, t in tok if k is not None and zlib.crc32(str(k).encode()) % 5 != 1]
     c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    often = {w for w in c if c[w] >= max(1.0, n * word_share)} | {0}
-    least = max(backoff_lm.LEAST_ARC, n * arc_share)
-    c2, c3 = collections.Counter(), collections.Counter()
-    for t in train:
-        for a, b in zip(["<", *t], t):
-            if (a == "<" or a in often) and b in often:
-                c2[a, b] += 1
-    c2 = {k: x for k, x in c2.items() if x >= least}
-    for t in train:
-        for a, b, d in zip(["<", *t], t, t[1:]):
-            if (a, b) in c2 and (b, d) in c2:
-                c3[a, b, d] += 1
-    c3 = {k: x for k, x in c3.items() if x >= least}
-    c1 = {**c, "<": len(train)}
-    g2, g3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (a, _), x in c2.items():
-        g2[a] -= (x - backoff_lm.DISCOUNT) / c1[a]
-    for (a, b, _), x in c3.items():
-        g3[a, b] -= (x - backoff_lm.DISCOUNT) / c2[a, b]
-
-    def p1(w):
-        return (c[w] + 0.5) / (n + 0.5 * (v + 1))
-
-    def p2(w, a):
-        return ((c2[a, w] - backoff_lm.DISCOUNT) / c1[a] if (a, w) in c2 else 0) + g2[a] * p1(w)
-
-    def p3(w, a, b):
-        return ((c3[a, b, w] - backoff_lm.DISCOUNT) / c2[a, b] if (a, b, w) in c3 else 0) + g3[a, b] * p2(w, b)
+    follow = collections.Counter((s, w) for t in train for i, w in enumerate(t) for s in ((["<", *t][i],), tuple(["<", *t][i - 1 : i + 1]) if i else None) if s)
+    seen = collections.Counter()
+    for (s, _), x in follow.items():
+        seen[s] += x
+
+    def p(w, s):
+        if not s:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        k = backoff_lm.FAILURE[len(s) - 1]
+        gamma = k / (k + math.sqrt(seen[s]))
+        return (1 - gamma) * follow[s, w] / max(1, seen[s]) + gamma * p(w, s[1:])
 
     out = []
     for k, t in tok:
-        s, h = 0.0, (None, "<")
-        for w in t:
-            s += math.log10(p3(w, *h))
-            h = (h[1], w)
-        out.append((k, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), s))
+        score = sum(math.log10(p(w, tuple(["<", *t][max(0, i - 1) : i + 1]))) for i, w in enumerate(t))
+        out.append((k, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p(w, ())) for w in t), score))
     return out
 
 
-@pytest.mark.parametrize("shares", [(5e-7, 1e-6), (0.02, 0.01)])
-def test_language_model_matches_its_definition(spark, monkeypatch, shares):
-    monkeypatch.setattr(backoff_lm, "WORD_SHARE", shares[0])
-    monkeypatch.setattr(backoff_lm, "ARC_SHARE", shares[1])
+@pytest.mark.parametrize("sizes", [(1 << 23, 1 << 24), (300, 1000), (1, 7)])
+def test_language_model_matches_its_definition(spark, monkeypatch, sizes):
+    monkeypatch.setattr(backoff_lm, "BLOCK_CHARS", sizes[0])
+    monkeypatch.setattr(backoff_lm, "CHARS_PER_BUCKET", sizes[1])
     rng = random.Random(9)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(80)]
     given = [(k, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for k in range(80)]
     given += [(None, "w1 W2 zzz"), (500, None), (501, ""), (3, given[3][1]), (502, "w1 " * 3000)]
     out = sorted(backoff_lm.score(docs(spark, given)).collect(), key=lambda r: (str(r.doc_id), r.score))
-    want = sorted(plain_scores(given, *shares), key=lambda r: (str(r[0]), r[5]))
+    want = sorted(plain_scores(given), key=lambda r: (str(r[0]), r[5]))
     assert len(out) == len(want)
     for r, w in zip(out, want):
         assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert (r.base_score, r.score) == (pytest.approx(w[4], rel=1e-9), pytest.approx(w[5], rel=1e-9))
 
 
-def test_language_model_probabilities_add_up(spark):
-    given = [(k, "a b a c a b d") for k in range(10)] + [(20, "a a b"), (21, "d c b a")]
-    rows_ = backoff_lm._rows(docs(spark, given), "doc_id", "text")
-    m = backoff_lm.train(rows_, 2)
-    new = 0.5 / m.scale  # all words not seen
-    assert m.p1.sum() + new == pytest.approx(1)
-    for s in range(m.size):
-        mine = m.pairs // m.size == s
-        seen = m.pairs[mine] % m.size
-        rest = m.gamma2[s] * (1 - m.p1[seen].sum())
-        assert m.p2[mine].sum() + rest == pytest.approx(1)
+def test_language_model_on_a_whole_table(spark):
+    table = spark.read.parquet(TABLE)
+    given = [(r.doc_id, r.text) for r in table.collect()]
+    want = {w[0]: w for w in plain_scores(given)}
+    out = rows(backoff_lm.score(table))
+    assert len(out) == len(given)
+    for k, r in out.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[k][1:4]
+        assert (r.base_score, r.score) == (pytest.approx(want[k][4], rel=1e-9), pytest.approx(want[k][5], rel=1e-9))
+    held = [r for r in out.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # histories tell something about texts not learned from
+
+
+def test_language_model_probabilities_add_up():
+    given = ["a b a c a b d"] * 10 + ["a a b", "d c b a"]
+    h, at = backoff_lm.tokens(given)
+    counts = []
+    for keys, ends in backoff_lm.grams(h, at):
+        _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+        count = np.zeros(len(h), np.int64)
+        count[ends] = n[inverse]
+        counts.append(count)
+    types = len(np.unique(h))
+    m = backoff_lm.Automaton(len(h), types, at, counts)
+    words, where = np.unique(h, return_index=True)
+    new = 0.5 / (m.total + 0.5 * (types + 1))  # all words not seen
+    root = np.r_[m.root()[where], new]
+    assert root.sum() == pytest.approx(1)
+    before = np.r_[backoff_lm.BEGIN, h[:-1]]
+    before[at[:-1]] = backoff_lm.BEGIN
+    for s in np.unique(before):
+        mine = before == s
+        arcs = np.r_[[(h[mine] == w).sum() for w in words], 0]
+        assert m.before1[mine].tolist() == [mine.sum()] * mine.sum()
+        assert backoff_lm.Automaton.step(backoff_lm.FAILURE[0], np.full(len(arcs), mine.sum()), arcs, root).sum() == pytest.approx(1)
 
 
 def test_language_model_without_training(spark):
