@@ -109,12 +109,19 @@ def _unpacked(packed: pa.Scalar) -> tuple[list[pa.RecordBatch], np.ndarray, np.n
 
 
 def _bytes(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers byte by byte, all lowest bytes first, so that the empty high ones compress."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Unsigned numbers, compressed byte by byte, all lowest bytes first: their number, their width, the bytes."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(numbers).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _numbers(raw: pa.Scalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    raw = raw.as_buffer()
+    n, width = int.from_bytes(raw[:8], "little"), raw[8]
+    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n * width, codec="zstd"), np.uint8)
+    numbers = np.zeros((n, 8), np.uint8)
+    numbers[:, :width] = planes.reshape(width, n).T
+    return numbers.view("<u8").ravel()
 
 
 def _requests(blocks: DataFrame, power: int) -> DataFrame:
