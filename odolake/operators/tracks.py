@@ -6,13 +6,16 @@ returns DataFrames; rows stay spread over (track, chunk).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, unwrap_correction
 from ..functions.pose import QUAT, quat_norm, roll_pitch_yaw
+from .asof import bracket
 from .chunks import CHUNK, neighbour, running, spread, with_chunk, with_seq_chunk
+from .keep import keep
 
 TRACK = ["run_id", "algorithm"]
 POSE = ["timestamp_s", "x_m", "y_m", "z_m", *QUAT]
@@ -258,15 +261,48 @@ def start_normalized(seg: DataFrame) -> DataFrame:
 # --- thinning ---------------------------------------------------------------
 
 
-def _jumps(times, min_dt: float) -> list[int]:
+_SIGN = np.int64(0x7FFFFFFFFFFFFFFF)
+
+
+def _far_enough(last: np.ndarray, min_dt: float) -> np.ndarray:
+    """For each time the least double that is ``min_dt`` or more behind it, found by bisection over the doubles."""
+    bits = np.ascontiguousarray(last, np.float64).view(np.int64)
+    low = bits ^ ((bits >> 63) & _SIGN)  # ordered as the doubles are
+    high = np.full_like(low, np.float64(np.inf).view(np.int64))
+    for _ in range(64):
+        mid = (low >> 1) + (high >> 1) + (low & high & 1)
+        with np.errstate(invalid="ignore"):  # an infinite time has nothing behind it
+            ok = (mid ^ ((mid >> 63) & _SIGN)).view(np.float64) - last >= min_dt
+        low, high = np.where(ok, low, mid), np.where(ok, mid, high)
+    return (high ^ ((high >> 63) & _SIGN)).view(np.float64)
+
+
+def _jumps(times: np.ndarray, min_dt: float) -> np.ndarray:
     """For each sample the next one the greedy walk keeps (len(times) at the end)."""
-    n, j, out = len(times), 0, []
-    for i in range(n):
-        j = max(j, i + 1)
-        while j < n and times[j] - times[i] < min_dt:
-            j += 1
-        out.append(j)
-    return out
+    return np.searchsorted(times, _far_enough(times, min_dt))
+
+
+def _reached(nodes: DataFrame) -> DataFrame:
+    """The nodes on the walk from the first node of each track, by pointer doubling.
+
+    A node is an entry with the time from which the walk goes on behind its chunk;
+    the first node from that time on follows it. After k rounds 2**k nodes of each
+    walk are found, so no task sees more than its share of a track's nodes.
+    """
+    by = [*TRACK, "entry_s"]
+    reached = nodes.groupBy(*TRACK).agg(F.min("entry_s").alias("entry_s"))
+    chunks = nodes.groupBy(*TRACK).agg(F.count_distinct(CHUNK).alias("n"))
+    hops = (chunks.agg(F.max("n")).first()[0] or 1) - 1
+    if hops:
+        behind = bracket(nodes.select(*by, "need_s"), nodes.select(*by), TRACK, t="need_s", sample_t="entry_s", payload=[], sides=("after",))
+        jump = keep(behind.where("after is not null").selectExpr(*by, "after.t as next_s"), "jumps")
+        for left in reversed(range(hops.bit_length())):
+            found = reached.join(jump, by).selectExpr(*TRACK, "next_s as entry_s")
+            reached = keep(reached.unionByName(found), "reached")
+            if left:
+                onward = jump.selectExpr(*TRACK, "entry_s as next_s", "next_s as onward_s")
+                jump = keep(jump.join(onward, [*TRACK, "next_s"]).selectExpr(*by, "onward_s as next_s"), "jumps")
+    return nodes.join(reached, by).selectExpr(*TRACK, CHUNK, "entry_s as start_s")
 
 
 def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame:
@@ -275,10 +311,10 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
     The walk follows arrival order. A kept sample is always later than all
     samples before it, so everything but strict running maxima drops out first
     and the walk runs over increasing times. It is then done per chunk in three
-    steps: (1) for the few samples that can be the first kept one of a chunk,
-    the last kept one; (2) one pass over those border entries per track; (3) the
-    walk inside each chunk from its known start. Without a least distance every
-    sample stays.
+    steps: (1) for the samples that can be the first kept one of a chunk, the last
+    kept one; (2) the entries that the walk meets, by pointer doubling over all
+    chunks at once; (3) the walk inside each chunk from its known start. Without a
+    least distance every sample stays.
     """
     live = raw.where("timestamp_s <> 0")
     if min_dt <= 0:  # nothing is too close
@@ -300,31 +336,13 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
 
     def borders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf["timestamp_s"].sort_values().to_numpy()
-        limit = t[0] + min_dt
-        entry = [i for i in range(len(t)) if i == 0 or t[i - 1] < limit]
-        last = list(range(len(t)))
-        for i, j in reversed(list(enumerate(_jumps(t, min_dt)))):
-            if j < len(t):
-                last[i] = last[j]
-        return pd.DataFrame(
-            {
-                "run_id": key[0],
-                "algorithm": key[1],
-                CHUNK: key[2],
-                "entry_s": t[entry],
-                "exit_s": [t[last[i]] for i in entry],
-            }
-        )
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        last, chunks, starts = None, [], []
-        for c, g in pdf.sort_values([CHUNK, "entry_s"]).groupby(CHUNK, sort=True):
-            ok = g if last is None else g[g["entry_s"] - last >= min_dt]
-            if len(ok):
-                chunks.append(c)
-                starts.append(ok["entry_s"].iloc[0])
-                last = ok["exit_s"].iloc[0]
-        return pd.DataFrame({"run_id": key[0], "algorithm": key[1], CHUNK: chunks, "start_s": starts})
+        after = _jumps(t, min_dt)
+        entries = t[: after[0] + 1]  # the sample before an entry is too close to the first one
+        last = np.where(after < len(t), after, np.arange(len(t)))
+        while (last != last[last]).any():
+            last = last[last]
+        exits = t[last[: len(entries)]]
+        return pd.DataFrame({"run_id": key[0], "algorithm": key[1], CHUNK: key[2], "entry_s": entries, "need_s": _far_enough(exits, min_dt)})
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp_s")
@@ -337,8 +355,8 @@ def thin(raw: DataFrame, min_dt: float, *, rows: int | None = None) -> DataFrame
         return pdf.iloc[keep][[*TRACK, "timestamp_s", "arrival_seq"]]
 
     key_ddl = f"run_id string, algorithm string, {CHUNK} bigint"
-    ends = rising.groupBy(*by).applyInPandas(borders, f"{key_ddl}, entry_s double, exit_s double")
-    start = ends.groupBy(*TRACK).applyInPandas(fold, f"{key_ddl}, start_s double")
+    nodes = keep(rising.groupBy(*by).applyInPandas(borders, f"{key_ddl}, entry_s double, need_s double"), "entries")
+    start = _reached(nodes)
     return (
         rising.join(start, by)
         .groupBy(*by)

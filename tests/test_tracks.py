@@ -65,6 +65,30 @@ def test_thinning_follows_arrival_order(spark, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("min_dt", [0.3, 7.0, 1000.0])
+def test_thinning_across_many_chunks(spark, min_dt):
+    """Chunks of four rows: the least distance spans none, several or all of them."""
+    rng = np.random.default_rng(8)
+    t = {"a": np.round(np.cumsum(rng.random(240)), 2) - 60.0, "b": np.round(np.cumsum(rng.random(30) * 9), 2) + 1.0}
+    df = raw(spark, [(x, 0, 0, 0, 0) for x in t["a"]], "a").unionByName(raw(spark, [(x, 0, 0, 0, 0) for x in t["b"]], "b"))
+    want = []
+    for name, times in t.items():
+        last = None
+        for i, x in enumerate(times):
+            if x != 0 and (last is None or x - last >= min_dt):
+                want.append((name, i))
+                last = x
+    got = sorted((r["algorithm"], r["arrival_seq"]) for r in tracks.thin(df, min_dt, rows=4).collect())
+    assert got == sorted(want)
+
+
+def test_least_time_far_enough():
+    last = np.array([0.1, -1.0, 1e300, -1e-300, 5.0, 0.3, -0.5, np.inf])
+    for d in (0.2, 1.0, 1e-9):
+        x = tracks._far_enough(last, d)
+        assert (x[:-1] - last[:-1] >= d).all() and (np.nextafter(x, -np.inf)[:-1] - last[:-1] < d).all()
+
+
 def test_yaw_unwrap_and_relative_steps(spark):
     s = tracks.steps(seg(spark, [(1, 0, 0, 0, 3.13), (2, 0, 0, 0, -3.13), (3, 0, 0, 0, -3.12)]))
     assert s.agg(F.max("yaw_step_deg")).first()[0] < 2.0
