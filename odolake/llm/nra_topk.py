@@ -1,13 +1,12 @@
 """Exact top-k inner products by aggregation without random access.
 
 Each block of vectors keeps one list per dimension, sorted by component. A query
-reads its lists from the end where its weight makes products large, in steps. For
-every row it knows the sum of the products seen; an unseen product lies between
-the least of its list and the product at the list's frontier. Rows whose upper
-bound is below the k-th best lower bound drop out. A query stops once no outsider
-can qualify; the scores of the rows it is left with are then resolved. All queries
-of a block take a step together: what is seen at a depth depends on the weight's
-sign only, so the bounds of all rows and queries are two matrix products.
+reads its lists in order from the end where its weight makes products large, STEP
+entries of each at a time. An entry adds its product to its row; a row's unseen
+products lie between the least of their list and the last one read from it. Rows
+whose upper bound is below the k-th best lower bound drop out, later entries of
+theirs are passed over, and reading stops once no outsider can qualify. Only the
+scores of the rows left then are resolved.
 
 Components are turned into integers first, so all bounds and scores are exact.
 
@@ -23,68 +22,55 @@ from pyspark.sql import functions as F
 from .vector_blocks import search, usable
 
 K, SCALE = 10, 1024
-STEPS = (0.25, 0.5, 0.75)
-"""Shares of a list read at the tests of the bounds; behind the last, what is left is resolved."""
+STEP = 64
+"""Entries read from every list between two tests of the bounds."""
 
 
 def exact_type(x: np.ndarray, q: np.ndarray):
-    """double where all sums stay exact in it, else 64-bit integers."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    """double where all sums of bounds stay exact in it, else 64-bit integers."""
+    most = 2 * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
     return np.float64 if most < 2**53 else np.int64
 
 
 class SortedLists:
-    """The columns of a block, each sorted in ascending order, and each row's place in them."""
+    """The columns of a block, each sorted in ascending order."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.n = x, len(x)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.value = np.take_along_axis(x, order, 0)
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], 0)
-
-    def candidates(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """rows x queries: whether the row may be among the k highest scores of the query, its number in ``k``."""
-        kind = exact_type(self.x, q)
-        x, value = self.x.astype(kind), self.value.astype(kind)
-        up, down = np.where(q > 0, q, 0).T.astype(kind), np.where(q < 0, q, 0).T.astype(kind)
-        alive = np.ones((self.n, len(q)), bool)
-        open_ = np.flatnonzero(k < self.n)
-        for share in STEPS:
-            depth = int(self.n * share)
-            if not len(open_) or not 0 < depth < self.n:
-                continue
-            above, below = (self.place >= self.n - depth).astype(kind), (self.place < depth).astype(kind)
-            u, d = up[:, open_], down[:, open_]
-            seen = np.hstack([above * x, below * x]) @ np.vstack([u, d])
-            marks = np.hstack([1 - above, 1 - below])  # unseen products
-            low = seen + marks @ np.vstack([u * value[0][:, None], d * value[-1][:, None]])
-            high = seen + marks @ np.vstack([u * value[self.n - depth][:, None], d * value[depth - 1][:, None]])
-            low[~alive[:, open_]] = np.iinfo(np.int64).min // 2
-            most = int(k[open_].max())
-            best = -np.partition(-low, most - 1, axis=0)[:most]
-            best.sort(axis=0)  # ascending: the k-th best stands k places before the end
-            bar = best[most - k[open_], np.arange(len(open_))]
-            alive[:, open_] &= high >= bar
-            open_ = open_[alive[:, open_].sum(0) > k[open_]]
-        return alive
+        self.x, self.order = x, np.argsort(x, axis=0, kind="stable")
+
+    def candidates(self, q: np.ndarray, k: int, alive: np.ndarray) -> tuple[np.ndarray, int]:
+        """The rows among ``alive`` that may have one of the k highest scores, and how far the lists were read."""
+        used = np.flatnonzero(q)  # all products of a list without weight are zero
+        lists = np.where(q[used] > 0, self.order[::-1, used], self.order[:, used])
+        product = np.take_along_axis(self.x[:, used], lists, 0) * q[used]
+        least = product[-1]
+        low = np.full(len(alive), least.sum())
+        unseen = np.ones((len(alive), len(used)), exact_type(self.x, q))
+        left, depth = np.flatnonzero(alive), 0
+        alive = alive.copy()
+        while len(left) > k and depth < len(alive):
+            rows, found = lists[depth : depth + STEP], product[depth : depth + STEP]
+            depth += len(rows)
+            fresh = alive[rows]
+            row, column = rows[fresh], np.nonzero(fresh)[1]
+            np.add.at(low, row, found[fresh] - least[column])
+            unseen[row, column] = 0
+            high = low[left] + (unseen[left] @ (found[-1] - least).astype(unseen.dtype)).astype(np.int64)
+            bar = np.partition(low[left], len(left) - k)[len(left) - k]
+            alive[left[high < bar]] = False
+            left = left[high >= bar]
+        return left, depth
 
 
 def _worker(k: int):
     def work(ids, vectors, asked, wanted):
-        own = np.searchsorted(ids, asked, "right") - np.searchsorted(ids, asked)  # rows with the query's id
-        alive = SortedLists(vectors).candidates(wanted, k + own) & (ids[:, None] != asked)
-        kind = exact_type(vectors, wanted)
-        score = (vectors.astype(kind) @ wanted.T.astype(kind)).astype(np.int64)
-        score[~alive] = np.iinfo(np.int64).min
-        most = min(k, len(ids))
-        bar = np.partition(score, len(ids) - most, axis=0)[len(ids) - most]
-        query, row = np.nonzero((alive & (score >= bar)).T)
-        order = np.lexsort((row, -score[row, query], query))
-        query, row = query[order], row[order]
-        best = np.arange(len(query)) - np.searchsorted(query, query) < k
-        query, row = query[best], row[best]
-        return query, row, score[row, query]
+        lists, found = SortedLists(vectors), []
+        for m, q in enumerate(wanted):
+            rows, _ = lists.candidates(q, k, ids != asked[m])
+            score = vectors[rows] @ q
+            best = np.lexsort((rows, -score))[:k]
+            found.append((np.full(len(best), m), rows[best], score[best]))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
     return work
 

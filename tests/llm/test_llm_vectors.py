@@ -103,9 +103,27 @@ def test_bounds_lose_no_candidate(seed):
     rng = np.random.default_rng(seed)
     n, dim, k = int(rng.integers(1, 60)), int(rng.integers(1, 6)), int(rng.integers(1, 12))
     x = rng.integers(-3, 4, (n, dim)) * (10**8 if seed % 3 == 0 else 1)
-    q = x[rng.integers(0, n, 4)]
-    alive = nra_topk.SortedLists(x).candidates(q, np.full(4, k))
-    score = x @ q.T
-    for m in range(4):
-        bar = np.sort(score[:, m])[-min(k, n)]
-        assert alive[score[:, m] >= bar, m].all()
+    lists, allowed = nra_topk.SortedLists(x), rng.random(n) < 0.9
+    for q in [*x[rng.integers(0, n, 4)], np.zeros(dim, np.int64)]:
+        left, _ = lists.candidates(q, k, allowed)
+        score = x @ q
+        mine = np.sort(score[allowed])
+        assert allowed[left].all()
+        if len(mine):
+            bar = mine[-min(k, len(mine))]
+            assert set(np.flatnonzero(allowed & (score >= bar))) <= set(left)
+
+
+def test_lists_are_read_no_farther_than_needed():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 100, (2000, 4))
+    x[:20] += 1000
+    left, depth = nra_topk.SortedLists(x).candidates(np.array([3, 2, 5, 1]), 10, np.ones(2000, bool))
+    assert depth <= 2 * nra_topk.STEP and set(left) <= set(range(20))
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    given = [(k % 7, [float(k), 1.0]) for k in range(40)]
+    out = nra_topk.top(vectors(spark, given), "id = 3").collect()
+    asked = {r.query_id for r in out}
+    assert asked == {3} and len(out) == 10 and all(r.vec_id != 3 for r in out)
