@@ -4,9 +4,11 @@ Each block of vectors keeps one list per dimension, sorted by component. A query
 reads its lists in order from the end where its weight makes products large, STEP
 entries of each at a time. An entry adds its product to its row; a row's unseen
 products lie between the least of their list and the last one read from it. Rows
-whose upper bound is below the k-th best lower bound drop out, later entries of
-theirs are passed over, and reading stops once no outsider can qualify. Only the
-scores of the rows left then are resolved.
+whose upper bound is below the k-th best lower bound drop out, and a query stops
+reading once no outsider can qualify. Only the scores of the rows it is left with
+are resolved then. The queries of a block read side by side: which entries a step
+brings depends on the weight's sign only, so a step adds to the sums of all queries
+that still read by one matrix product, and each bound is one more.
 
 Components are turned into integers first, so all bounds and scores are exact.
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .vector_blocks import search, usable
 
 K, SCALE = 10, 1024
-STEP = 64
+STEP = 128
 """Entries read from every list between two tests of the bounds."""
 
 
@@ -39,34 +41,38 @@ class SortedLists:
         self.x, self.order = x, np.argsort(x, axis=0, kind="stable")
 
     def candidates(self, q: np.ndarray, k: int, alive: np.ndarray) -> tuple[np.ndarray, int]:
-        """The rows among ``alive`` that may have one of the k highest scores, and how far the lists were read."""
-        used = np.flatnonzero(q)  # all products of a list without weight are zero
-        lists = np.where(q[used] > 0, self.order[::-1, used], self.order[:, used])
-        product = np.take_along_axis(self.x[:, used], lists, 0) * q[used]
-        least = product[-1]
-        low = np.full(len(alive), least.sum())
-        unseen = np.ones((len(alive), len(used)), exact_type(self.x, q))
-        left, depth = np.flatnonzero(alive), 0
-        alive = alive.copy()
-        while len(left) > k and depth < len(alive):
-            rows, found = lists[depth : depth + STEP], product[depth : depth + STEP]
-            depth += len(rows)
-            fresh = alive[rows]
-            row, column = rows[fresh], np.nonzero(fresh)[1]
-            np.add.at(low, row, found[fresh] - least[column])
-            unseen[row, column] = 0
-            high = low[left] + (unseen[left] @ (found[-1] - least).astype(unseen.dtype)).astype(np.int64)
-            bar = np.partition(low[left], len(left) - k)[len(left) - k]
-            alive[left[high < bar]] = False
-            left = left[high >= bar]
-        return left, depth
+        """queries x rows: which of the rows ``alive`` may have one of the k highest scores; how far the lists were read."""
+        kind, (n, dim) = exact_type(self.x, q), self.x.shape
+        x, column = self.x.astype(kind), np.arange(dim)
+        value = np.take_along_axis(x, self.order, 0)
+        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+        seen, unseen, alive = np.zeros((len(q), n), kind), np.ones((2 * dim, n), kind), alive.copy()
+        reading, depth = np.arange(len(q)), 0
+        while depth < n:
+            more = alive[reading].sum(1) > k
+            if not more.all():
+                reading, up, down, seen = reading[more], up[more], down[more], seen[more]
+            if not len(reading):
+                break
+            end = min(depth + STEP, n)
+            found = np.zeros((2 * dim, n), kind)
+            for rows, list_ in ((self.order[n - end : n - depth], column), (self.order[depth:end], column + dim)):
+                found[list_, rows], unseen[list_, rows] = x[rows, column], 0
+            seen += np.hstack([up, down]) @ found
+            low = seen + np.hstack([up * value[0], down * value[-1]]) @ unseen
+            high = seen + np.hstack([up * value[n - end], down * value[end - 1]]) @ unseen
+            low[~alive[reading]] = np.iinfo(np.int64).min // 2
+            alive[reading] &= high >= np.partition(low, n - k, axis=1)[:, n - k, None]
+            depth = end
+        return alive, depth
 
 
 def _worker(k: int):
     def work(ids, vectors, asked, wanted):
-        lists, found = SortedLists(vectors), []
+        alive, _ = SortedLists(vectors).candidates(wanted, k, ids != asked[:, None])
+        found = []
         for m, q in enumerate(wanted):
-            rows, _ = lists.candidates(q, k, ids != asked[m])
+            rows = np.flatnonzero(alive[m])
             score = vectors[rows] @ q
             best = np.lexsort((rows, -score))[:k]
             found.append((np.full(len(best), m), rows[best], score[best]))

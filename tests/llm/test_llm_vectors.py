@@ -101,25 +101,25 @@ def test_top_of_the_whole_table(spark):
 @pytest.mark.parametrize("seed", range(40))
 def test_bounds_lose_no_candidate(seed):
     rng = np.random.default_rng(seed)
-    n, dim, k = int(rng.integers(1, 60)), int(rng.integers(1, 6)), int(rng.integers(1, 12))
+    n, dim, k = int(rng.integers(1, 400)), int(rng.integers(1, 6)), int(rng.integers(1, 12))
     x = rng.integers(-3, 4, (n, dim)) * (10**8 if seed % 3 == 0 else 1)
-    lists, allowed = nra_topk.SortedLists(x), rng.random(n) < 0.9
-    for q in [*x[rng.integers(0, n, 4)], np.zeros(dim, np.int64)]:
-        left, _ = lists.candidates(q, k, allowed)
-        score = x @ q
-        mine = np.sort(score[allowed])
-        assert allowed[left].all()
+    q = np.vstack([x[rng.integers(0, n, 4)], np.zeros((1, dim), np.int64)])
+    allowed = rng.random((5, n)) < 0.9
+    left, _ = nra_topk.SortedLists(x).candidates(q, k, allowed)
+    score = q @ x.T
+    assert (allowed | ~left).all()
+    for m in range(5):
+        mine = np.sort(score[m, allowed[m]])
         if len(mine):
-            bar = mine[-min(k, len(mine))]
-            assert set(np.flatnonzero(allowed & (score >= bar))) <= set(left)
+            assert left[m, allowed[m] & (score[m] >= mine[-min(k, len(mine))])].all()
 
 
 def test_lists_are_read_no_farther_than_needed():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 100, (2000, 4))
     x[:20] += 1000
-    left, depth = nra_topk.SortedLists(x).candidates(np.array([3, 2, 5, 1]), 10, np.ones(2000, bool))
-    assert depth <= 2 * nra_topk.STEP and set(left) <= set(range(20))
+    left, depth = nra_topk.SortedLists(x).candidates(np.array([[3, 2, 5, 1], [1, 0, 2, 3]]), 10, np.ones((2, 2000), bool))
+    assert all(set(np.flatnonzero(mine)) <= set(range(20)) for mine in left) and depth <= 2 * nra_topk.STEP
 
 
 def test_repeated_ids_are_rows_of_their_own(spark):
