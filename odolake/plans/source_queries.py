@@ -213,7 +213,8 @@ def _log_files(i: Inputs) -> str:
     """The documents as one log a source, in the order of their ids; line ends of all kinds become one."""
     path = _path(i, "logs")
     rows = i.table("documents").selectExpr("source as algorithm", "doc_id", "text")
-    rows.repartition("algorithm").sortWithinPartitions("algorithm", "doc_id").select("algorithm", "text").write.partitionBy("algorithm").text(path)
+    rows = rows.repartitionByRange("algorithm", "doc_id").sortWithinPartitions("algorithm", "doc_id")
+    rows.select("algorithm", "text").write.partitionBy("algorithm").text(path)
     return path
 
 

@@ -175,7 +175,9 @@ def read_log_lines(spark: SparkSession, path: str, run_id: str, name: str = PARE
     """Numbered lines of text logs, read by block; bytes that are no UTF-8 become replacement characters.
 
     A line's number is its place in its block plus the lines of the blocks ahead,
-    which come from one small row per block; no task holds a whole file.
+    which come from one small row per block; no task holds a whole file. The files of
+    one ``FOLDER`` are parts of one log in the order of their paths, others are logs
+    of their own.
     """
     place = _place()
     rows = spark.read.text(path).select(
@@ -186,8 +188,9 @@ def read_log_lines(spark: SparkSession, path: str, run_id: str, name: str = PARE
         F.make_valid_utf8("value").alias("text"),
     ).select("*", "place.path", "place.block")
     within = Window.partitionBy("path", "block").orderBy("place")
-    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    log = "algorithm" if name == FOLDER else "path"
+    ahead = Window.partitionBy(log).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("algorithm", "path", "block").agg(F.count("*").alias("n"))
     blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     numbered = rows.withColumn("k", F.row_number().over(within)).join(blocks, ["path", "block"])
     return numbered.selectExpr(*TRACK, "source", "0L as part", "before + k as line", "text")

@@ -130,3 +130,13 @@ def test_broken_logs_and_documents(spark, tmp_path):
     assert sorted((r["run_id"], r["n"]) for r in sound.collect()) == [("a", 1), ("\ufffd", None)]
     names = sorted(r["path"].rsplit("/", 1)[1].removesuffix(".json") for r in rejected.collect())
     assert [n for n in names if n != "empty"] == ["cut", "list", "null", "other"]
+
+
+def test_parts_of_one_log_are_numbered_on(spark, tmp_path):
+    for name, parts in {"a": ["x\ny\n", "z\n"], "b": ["u\n"]}.items():
+        folder = tmp_path / f"algorithm={name}"
+        folder.mkdir()
+        for k, text in enumerate(parts):
+            (folder / f"part-{k:05d}.txt").write_text(text)
+    rows = files.read_log_lines(spark, str(tmp_path), "r", files.FOLDER).orderBy("algorithm", "line").collect()
+    assert [(r["algorithm"], r["line"], r["text"]) for r in rows] == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "u")]
