@@ -32,8 +32,8 @@ def registry(spark) -> DataFrame:
 
 
 def labelled(rows: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Label from the fixed registry (ten rows), with a mark on unhealthy tracks."""
-    return rows.join(F.broadcast(dimension.select("algorithm", "label")), "algorithm", "left").withColumn(
+    """Label from a registry, with a mark on unhealthy tracks. The join is left to the planner, which knows its size."""
+    return rows.join(dimension.select("algorithm", "label"), "algorithm", "left").withColumn(
         "label",
         F.expr("concat(coalesce(label, algorithm), if(health_valid, '', ' [health-fail]'))"),
     )
